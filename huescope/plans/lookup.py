@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from huescope.operators import captures as ops
+from huescope.sources.shared import materialised
 
 
 def lookup_homepages(captures: DataFrame, domains: DataFrame, crawl: str) -> DataFrame:
-    """Index rows of every listed domain, found or not."""
+    """Index rows of every listed domain, found or not.
+
+    The found rows, one per domain at most, are written before they are
+    completed: both the result and the search for missing domains read them,
+    and the index itself must be scanned only once.
+    """
     listed = ops.filter_domain_in(ops.filter_homepage_captures(captures, crawl), domains)
     found = ops.normalise_captures(ops.project_captures(ops.pick_homepage(listed)))
-    return ops.mark_not_found(found, domains)
+    return ops.mark_not_found(materialised(found), domains)
 
 
 def import_captures(rows: DataFrame, domains: DataFrame) -> DataFrame:
