@@ -147,15 +147,36 @@ UNION SELECT 'missing' || CAST(page_id AS STRING) || '.example' FROM pages WHERE
 """
 
 # Archived records: envelope, response headers, body. page_id % 6 selects the
-# framing; the last has no blank line at all.
-RECORD_TEXT = """
+# framing; the last has no blank line at all. Each archive holds filler bytes
+# around its record.
+_CRLF = "chr(13) || chr(10)"
+_LF = "chr(10)"
+
+
+def _record(head: list[str], newline: str, body: str) -> str:
+    lines = [f"'{h}' || {newline}" if h else newline for h in head]
+    return " || ".join([*lines, body])
+
+
+def record(octets: str) -> str:
+    """Record text; ``octets`` is the engine's byte length function."""
+    return f"""
 CASE page_id % 6
-  WHEN 0 THEN 'WARC/1.0' || crlf || 'WARC-Type: response' || crlf || crlf || 'HTTP/1.1 200 OK' || crlf || 'Content-Type: text/html' || crlf || crlf || html
-  WHEN 1 THEN 'WARC/1.0' || lf || lf || 'HTTP/1.1 200 OK' || lf || 'Content-Type: text/html; charset=UTF-8;' || lf || lf || html
-  WHEN 2 THEN 'WARC/1.0' || crlf || crlf || 'HTTP/1.1 200 OK' || crlf || 'Content-Type: text/html; charset=utf-8' || crlf || 'Transfer-Encoding: chunked' || crlf || crlf
-       || lower(hex(octet_length(encode_utf8(html)))) || ';x=y' || crlf || html || crlf || '0' || crlf || crlf
-  WHEN 3 THEN 'WARC/1.0' || crlf || crlf || 'HTTP/1.1 200 OK' || crlf || 'content-type: text/html; charset=no-such-set' || crlf || crlf || html
-  WHEN 4 THEN 'WARC/1.0' || crlf || crlf || 'HTTP/1.1 200 OK' || crlf || 'X-Transfer-Encoding: chunked' || crlf || crlf || html
+  WHEN 0 THEN {_record(['WARC/1.0', 'WARC-Type: response', '', 'HTTP/1.1 200 OK', 'Content-Type: text/html', ''], _CRLF, 'html')}
+  WHEN 1 THEN {_record(['WARC/1.0', '', 'HTTP/1.1 200 OK', 'Content-Type: text/html; charset=UTF-8;', ''], _LF, 'html')}
+  WHEN 2 THEN {_record(['WARC/1.0', '', 'HTTP/1.1 200 OK', 'Content-Type: text/html; charset=utf-8', 'Transfer-Encoding: chunked', ''], _CRLF,
+                       f"lower(hex({octets}(html))) || ';x=y' || {_CRLF} || html || {_CRLF} || '0' || {_CRLF} || {_CRLF}")}
+  WHEN 3 THEN {_record(['WARC/1.0', '', 'HTTP/1.1 200 OK', 'content-type: text/html; charset=no-such-set', ''], _CRLF, 'html')}
+  WHEN 4 THEN {_record(['WARC/1.0', '', 'HTTP/1.1 200 OK', 'X-Transfer-Encoding: chunked', ''], _CRLF, 'html')}
   ELSE html
 END
 """
+
+
+SITE = "'site' || CAST(page_id AS STRING) || '.example:80/x'"
+ARCHIVES = f"""
+SELECT {SITE} AS domain, 'seg/' || CAST(page_id AS STRING) || '.warc' AS filename,
+       CAST(page_id % 97 AS BIGINT) AS offset, CAST(octet_length(record) AS BIGINT) AS length,
+       encode(repeat('x', CAST(page_id % 97 AS INT)) || record || repeat('y', CAST(page_id % 31 AS INT)), 'UTF-8') AS archive
+FROM (SELECT page_id, {record('octet_length')} AS record FROM pages) records
+"""

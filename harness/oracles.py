@@ -95,7 +95,7 @@ def upper_median(value: str, where: str = "true") -> str:
 # --- pages to results, as a chain of common table expressions ---------------
 
 TOKENS = f"""
-SELECT page_id, unnest(toks) AS tok, unnest(range(len(toks))) AS block
+SELECT page_id, unnest(toks) AS tok, CAST(unnest(range(len(toks))) AS INTEGER) AS block
 FROM (SELECT page_id, list_filter(regexp_extract_all(html, '{_TOKEN}', 1), lambda t: t <> '') AS toks FROM styled)
 """
 BLOCKS = r"""
@@ -109,7 +109,7 @@ FROM (SELECT page_id, block, regexp_extract(tok, '(?is)\sstyle\s*=\s*("[^"]*"|''
 WHERE length(s) > 2
 """
 RULES = r"""
-SELECT page_id, block, unnest(range(len(sel))) AS rule, trim(unnest(sel), E' \n\t') AS selector, unnest(body) AS body
+SELECT page_id, block, CAST(unnest(range(len(sel))) AS INTEGER) AS rule, trim(unnest(sel), E' \n\t') AS selector, unnest(body) AS body
 FROM (SELECT page_id, block, regexp_extract_all(css, '([^{}]+)\{([^{}]*)\}', 1) AS sel,
              regexp_extract_all(css, '([^{}]+)\{([^{}]*)\}', 2) AS body
       FROM (SELECT page_id, block, regexp_replace(css, '(?s)/\*.*?\*/', '', 'g') AS css FROM blocks))
@@ -250,6 +250,11 @@ SELECT * FROM ({FOUND}) UNION ALL
 SELECT 'not_found', domain, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ({inputs.DOMAIN_LIST})
 WHERE domain NOT IN (SELECT domain FROM ({FOUND}))
 """
+RECORDS = f"""
+SELECT {inputs.SITE} AS domain, 'seg/' || CAST(page_id AS STRING) || '.warc' AS filename, record,
+       CAST(strlen(record) AS BIGINT) AS length
+FROM (SELECT page_id, {inputs.record('strlen')} AS record FROM pages)
+"""
 # Expected outcome of decoding each record.
 FETCH_LOG = """
 SELECT 'site' || CAST(page_id AS VARCHAR) || '.example:80/x' AS domain,
