@@ -15,7 +15,7 @@ _COMMENT = r"(?s)/\*.*?\*/|(/\*.*+)"
 # "prelude{body}" without braces inside either part. A match can only start
 # where a run of non-brace characters starts; the look-behind says so and keeps
 # the scan linear.
-_RULE = r"(?<![^{}])([^{}]++)\{([^{}]*+)\}"
+_RULE = r"(?<![^{}])[^{}]++\{[^{}]*+\}"
 
 _PROPERTY = rf"(?is)(?:^|;){WS}*+((?:color|background(?:-color)?){WS}*+:[^;]*+)"
 _IMPORTANT = rf"(?i)(?<!{WS}){WS}*+!important\z"
@@ -33,14 +33,13 @@ def strip_comments(css: Column) -> Column:
 
 def rules(css: Column) -> Column:
     """ARRAY<STRUCT<selector, body>> of the innermost rules, in text order."""
-    text = strip_comments(css)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(_RULE), F.lit(1)).alias("selector"),
-        F.regexp_extract_all(text, F.lit(_RULE), F.lit(2)).alias("body"),
-    )
+    found = F.regexp_extract_all(strip_comments(css), F.lit(_RULE), F.lit(0))
     return F.transform(
-        pairs,
-        lambda r: F.struct(strip(r.getField("selector")).alias("selector"), r.getField("body").alias("body")),
+        found,
+        lambda r: F.struct(
+            strip(F.substring_index(r, "{", 1)).alias("selector"),
+            F.replace(F.substring_index(r, "{", -1), F.lit("}"), F.lit("")).alias("body"),
+        ),
     )
 
 

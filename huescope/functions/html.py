@@ -46,6 +46,11 @@ def is_style_element(token: Column) -> Column:
     return token.rlike(_STYLE_ELEMENT)
 
 
+def may_be_style_element(token: Column) -> Column:
+    """Cheap test; ``style_text`` of an unclosed element is empty."""
+    return token.rlike(r"(?i)^<style[\s/>]")
+
+
 def style_text(token: Column) -> Column:
     return F.regexp_extract(token, _STYLE_ELEMENT, 1)
 
@@ -55,8 +60,8 @@ def may_have_style_attribute(token: Column) -> Column:
 
 
 def style_attribute(token: Column) -> Column:
-    """Value of the last style attribute of a start tag, NULL if none or empty."""
+    """Value of the last style attribute of a start tag, NULL if there is none."""
     tag = F.regexp_extract(token, _START_TAG, 0)
     values = F.array_remove(F.regexp_extract_all(tag, F.lit(_STYLE_ATTRIBUTE), F.lit(1)), F.lit(""))
     bare = F.regexp_replace(F.try_element_at(values, F.lit(-1)), r"""(?s)^(['"])(.*)\1\z""", "$2")
-    return F.nullif(unescape(bare), F.lit(""))
+    return unescape(bare)

@@ -29,12 +29,9 @@ def extract_style_blocks(pages: DataFrame, key: str = "domain", text: str = "htm
 
 def extract_inline_styles(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:
     """(key, block, style): non-empty style attribute of every start tag."""
-    return (
-        _tokens(pages, key, text)
-        .where(html.may_have_style_attribute(F.col("token")))
-        .select(key, "block", html.style_attribute(F.col("token")).alias("style"))
-        .where(F.col("style").isNotNull())
-    )
+    tags = _tokens(pages, key, text).where(html.may_have_style_attribute(F.col("token")))
+    found = settled(tags, [F.col(key), F.col("block")], {"style": html.style_attribute(F.col("token"))})
+    return found.where(F.length("style") > 0)
 
 
 def parse_css_rules(blocks: DataFrame, text: str = "css") -> DataFrame:
@@ -71,25 +68,11 @@ def filter_declarations(declarations: DataFrame) -> DataFrame:
     )
 
 
-def stylesheet_declarations(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:
-    rules = parse_css_rules(extract_style_blocks(pages, key, text))
-    return filter_declarations(
-        parse_declarations(rules.where(css.has_colour_property(F.col("body"))))
-    ).select(
-        key,
-        F.struct(F.lit(0).alias("kind"), "block", "rule").alias("seq"),
-        "selector",
-        "color",
-        "background",
-        "unreadable",
-    )
-
-
 def inline_declarations(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:
+    """Declarations of style attributes only."""
     styles = extract_inline_styles(pages, key, text)
-    return filter_declarations(
-        parse_declarations(styles.where(css.has_colour_property(F.col("style"))), "style")
-    ).select(
+    coloured = styles.where(css.has_colour_property(F.col("style")))
+    return filter_declarations(parse_declarations(coloured, "style")).select(
         key,
         F.struct(F.lit(1).alias("kind"), "block", F.lit(0).alias("rule")).alias("seq"),
         F.lit(css.INLINE_SELECTOR).alias("selector"),
@@ -100,5 +83,48 @@ def inline_declarations(pages: DataFrame, key: str = "domain", text: str = "html
 
 
 def union_declarations(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:
-    """Rules of style elements, then inline styles; ``seq`` carries the order."""
-    return stylesheet_declarations(pages, key, text).unionByName(inline_declarations(pages, key, text))
+    """Declarations of style elements and of style attributes in one pass.
+
+    ``seq`` puts the rules of style elements first, whatever their place.
+    """
+    token = F.col("token")
+    sheet = F.transform(
+        css.rules(html.style_text(token)),
+        lambda r, at: F.struct(
+            F.lit(0).alias("kind"),
+            at.alias("rule"),
+            r.getField("selector").alias("selector"),
+            r.getField("body").alias("body"),
+        ),
+    )
+    attribute = F.array(
+        F.struct(
+            F.lit(1).alias("kind"),
+            F.lit(0).alias("rule"),
+            F.lit(css.INLINE_SELECTOR).alias("selector"),
+            html.style_attribute(token).alias("body"),
+        )
+    )
+    is_sheet, is_styled = html.may_be_style_element(token), html.may_have_style_attribute(token)
+    found = (
+        _tokens(pages, key, text)
+        .where(is_sheet | is_styled)
+        .select(
+            key,
+            "block",
+            F.inline(
+                F.when(is_sheet & is_styled, F.concat(sheet, attribute))
+                .when(is_sheet, sheet)
+                .otherwise(attribute)
+            ),
+        )
+    )
+    coloured = found.where(css.has_colour_property(F.col("body")))
+    return filter_declarations(parse_declarations(coloured)).select(
+        key,
+        F.struct("kind", "block", "rule").alias("seq"),
+        "selector",
+        "color",
+        "background",
+        "unreadable",
+    )

@@ -34,7 +34,7 @@ def _rule_list(tokens: Column) -> Column:
     """ARRAY<STRUCT<selector, body>>: style sheets first, then inline styles."""
     sheets = F.flatten(
         F.transform(
-            F.filter(tokens, html.is_style_element), lambda t: css.rules(html.style_text(t))
+            F.filter(tokens, html.may_be_style_element), lambda t: css.rules(html.style_text(t))
         )
     )
     inline = F.transform(
@@ -171,7 +171,11 @@ def page_pairings(pages: DataFrame, key: str = "domain", text: str = "html") ->
         .otherwise(F.col("declarations"))
         .alias("declarations"),
     ).select(key, "failed", _pair_list(F.col("declarations")).alias("pairs"))
-    return paired.select(key, "failed", _distinct_list(F.col("pairs")).alias("pairings"))
+    return settled(
+        paired,
+        [F.col(key)],
+        {"failed": F.col("failed"), "pairings": _distinct_list(F.col("pairs"))},
+    )
 
 
 def _statistics() -> dict[str, Column]:
