@@ -51,45 +51,59 @@ def any_colour(e: str) -> str:
     return f"CASE {n} % {len(cases)} {whens} END"
 
 
-def page_css(n: str = "page_id") -> str:
+def page_css() -> str:
     """A style element of seven rules, a comment and a media block."""
-    first = f"'color:#' || {hex6(f'{n} * 7919 + 1')} || ';background-color:#' || {hex6(f'{n} * 104729 + 12345')}"
     return " || ".join(
         [
             "'<style type=\"text/css\">/* .off{color:red} */ body{'",
-            first,
+            "pair1",
             "'} a{color:'",
-            any_colour(n),
+            "c0",
             "';} .b { background: '",
-            named(f"{n} + 1"),
+            "c1",
             "' url(x.png) no-repeat }@media (max-width:'",
-            text(n),
+            text("page_id"),
             "'px){.m{margin:0;color:'",
-            any_colour(f"{n} + 5"),
+            "c2",
             "' !important; BACKGROUND-COLOR : '",
-            any_colour(f"{n} * 3 + 1"),
+            "c3",
             "'}} .dup{'",
-            first,
+            "pair1",
             "'} .g{background:#'",
-            hex6(f"{n} * 97"),
+            hex6("page_id * 97"),
             "';background:url(y.png);color:white;color:#'",
-            hex6(f"{n} * 89"),
+            hex6("page_id * 89"),
             "'} .t{color:#333;background-color:transparent} .e{padding:1px}</style>'",
         ]
     )
 
 
-def styled_html(n: str = "page_id") -> str:
-    """pages.html with styles; every 17th stays raw, every 23rd is unreadable."""
-    html = f"replace(html, '<style>p{{margin:0}}</style>', {page_css(n)})"
-    inline = f"'<div class=\"ad\" style=\"color: ' || {any_colour(f'{n} + 2')} || '; background: ' || {any_colour(f'{n} + 7')} || '\">'"
-    html = f"replace({html}, '<div class=\"ad\">', {inline})"
-    quoted = f"'<article title=\"a>b\" style=''font-family:&quot;x;y&quot;;COLOR:' || {any_colour(f'{n} + 4')} || '''>'"
-    html = f"replace({html}, '<article>', {quoted})"
-    html = f"replace({html}, '<!-- ad', '<!-- <p style=\"color:red\"> ad')"
-    html = f"replace({html}, 'track(', 'var s=\"<i style=color:blue>\";track(')"
-    broken = f"replace({html}, '</head>', '<style>.bad{{color:#ggg}}</style></head>')"
-    return f"CASE WHEN {n} % 17 = 0 THEN html WHEN {n} % 23 = 0 THEN {broken} ELSE {html} END"
+_PAIR = f"'color:#' || {hex6('page_id * 7919 + 1')} || ';background-color:#' || {hex6('page_id * 104729 + 12345')}"
+_COLOURS = f"""
+SELECT page_id, url, html, {_PAIR} AS pair1, {any_colour('page_id')} AS c0, {named('page_id + 1')} AS c1,
+       {any_colour('page_id + 5')} AS c2, {any_colour('page_id * 3 + 1')} AS c3, {any_colour('page_id + 2')} AS c4,
+       {any_colour('page_id + 7')} AS c5, {any_colour('page_id + 4')} AS c6,
+       CASE WHEN page_id % 23 = 0 THEN '<style>.bad{{color:#ggg}}</style></head>' ELSE '</head>' END AS head
+FROM pages
+"""
+
+
+def _woven() -> str:
+    replacements = [
+        ("'<style>p{margin:0}</style>'", page_css()),
+        ("'<div class=\"ad\">'", "'<div class=\"ad\" style=\"color: ' || c4 || '; background: ' || c5 || '\">'"),
+        (
+            "'<article>'",
+            "'<article title=\"a>b\" style=''font-family:&quot;x;y&quot;;COLOR:' || c6 || '''>'",
+        ),
+        ("'<!-- ad'", "'<!-- <p style=\"color:red\"> ad'"),
+        ("'track('", "'var s=\"<i style=color:blue>\";track('"),
+        ("'</head>'", "head"),
+    ]
+    html = "html"
+    for old, new in replacements:
+        html = f"replace({html}, {old}, {new})"
+    return f"CASE WHEN page_id % 17 = 0 THEN html ELSE {html} END"
 
 
 def audit_domain(n: str = "page_id") -> str:
@@ -100,8 +114,9 @@ def audit_domain(n: str = "page_id") -> str:
     return f"CASE WHEN {n} < {count} THEN {literal} ELSE 'p' || {text(n)} || '.' || {literal} END"
 
 
-STYLED = f"SELECT page_id, {styled_html()} AS html FROM pages"
-SITES = f"SELECT page_id, {audit_domain()} AS domain, {styled_html()} AS html FROM pages"
+# pages.html with styles; every 17th stays raw, every 23rd is unreadable.
+STYLED = f"SELECT page_id, {_woven()} AS html FROM ({_COLOURS}) colours"
+SITES = f"SELECT page_id, {audit_domain()} AS domain, html FROM ({STYLED}) styled"
 
 # One colour value per line item, and one explicit pair.
 COLOUR_TEXTS = f"""

@@ -43,12 +43,29 @@ def _sql(spark: SparkSession, folder: str, text: str, *tables: str) -> DataFrame
     return spark.sql(text)
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark, folder, name: str, build: Query) -> DataFrame:
+    """A derived table, stored once per session as the jobs hand it on."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        _STORED[key] = materialised(build(spark, folder))
+    return _STORED[key]
+
+
+def _site_pages(spark, folder) -> DataFrame:
+    return pg.spread(
+        _stored(spark, folder, "sites", lambda s, f: _sql(s, f, inputs.SITES, "pages"))
+    )
+
+
 def _styled(spark, folder) -> DataFrame:
-    return _sql(spark, folder, inputs.STYLED, "pages")
+    return _site_pages(spark, folder).drop("domain")
 
 
 def _sites(spark, folder) -> DataFrame:
-    return _sql(spark, folder, inputs.SITES, "pages").drop(KEY)
+    return _site_pages(spark, folder).drop(KEY)
 
 
 def _captures(spark, folder) -> DataFrame:
@@ -87,17 +104,6 @@ def _distinct(spark, folder) -> DataFrame:
     return pair.dedup_pairings(pair.classify_pairs(_pairs(spark, folder)), KEY)
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _stored(spark, folder, name: str, build: Query) -> DataFrame:
-    """The report jobs read the analysis jobs' stored table, once per session."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _STORED:
-        _STORED[key] = materialised(build(spark, folder))
-    return _STORED[key]
-
-
 def _results(spark, folder) -> DataFrame:
     return _stored(
         spark, folder, "results", lambda s, f: analyse_pages(_sites(s, f), "domain").drop("pairings")
