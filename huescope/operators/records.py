@@ -48,9 +48,14 @@ def slice_records(index: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def _by_region(index: DataFrame) -> DataFrame:
-    """Neighbouring records to one task, a large archive to many tasks."""
+    """Neighbouring records to one task, a large archive to many tasks.
+
+    The number of tasks is fixed: index rows are small, and partitions sized by
+    their bytes would be merged although each row stands for a whole record.
+    """
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     region = F.floor(F.col("offset") / F.lit(REGION_BYTES))
-    return index.repartition("filename", region).sortWithinPartitions("filename", "offset")
+    return index.repartition(tasks, "filename", region).sortWithinPartitions("filename", "offset")
 
 
 def _read_ranges(batches, root: str):

@@ -21,10 +21,8 @@ def spread(df: DataFrame) -> DataFrame:
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(domain, html) of every ``*.html`` file; invalid UTF-8 becomes U+FFFD."""
     files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.html")
-    name = F.regexp_extract(F.col("path"), r"([^/]*)\.html$", 1)
-    # File paths come back as URIs.
     return files.select(
-        F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("domain"),
+        F.regexp_extract(F.col("path"), r"([^/]*)\.html$", 1).alias("domain"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
     )
 

@@ -33,8 +33,9 @@ def write_summary_json(summary: DataFrame, path: str) -> None:
 
 
 def write_report_csv(report: DataFrame, path: str, single_file: bool = False) -> None:
-    """The report with a header; ``single_file`` for results known to be small."""
-    (report.coalesce(1) if single_file else report).write.csv(path, header=True)
+    """The report by rank with a header; ``single_file`` for a result known to be small."""
+    ranked = report.orderBy("rank")
+    (ranked.coalesce(1) if single_file else ranked).write.csv(path, header=True)
 
 
 def scan_report_csv(spark: SparkSession, path: str) -> DataFrame:
