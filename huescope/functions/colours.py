@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huescope.functions.frames import settled
-from huescope.functions.text import WS, strip
+from huescope.functions.text import WS_CHARS, strip
 
 UNREADABLE = -1
 WHITE = 0xFFFFFF
@@ -189,7 +189,7 @@ _NUMBER = (
     r"^[+-]?(?:\d+(?:_\d+)*+\.?(?:\d+(?:_\d+)*+)?|\.\d+(?:_\d+)*+)(?:e[+-]?\d+(?:_\d+)*+)?\z"
     r"|^[+-]?inf(?:inity)?\z"
 )
-_ARGUMENT = rf"[^,/{WS[1:-1]}]++"
+_SEPARATORS = ",/" + WS_CHARS
 _HEX_PAIRS = r"^(?:[0-9a-f]{2}|[\s+][0-9a-f]|[0-9a-f]\s){3}\z"
 
 
@@ -210,7 +210,7 @@ def _linear_table() -> Column:
 
 
 def pack(red: Column, green: Column, blue: Column) -> Column:
-    return red * F.lit(65536) + green * F.lit(256) + blue
+    return F.shiftleft(red, 16).bitwiseOR(F.shiftleft(green, 8)).bitwiseOR(blue)
 
 
 def red(code: Column) -> Column:
@@ -258,7 +258,7 @@ def _cut(norm: Column) -> dict[str, Column]:
         "digits": F.when(norm.startswith("#"), digits),
         "args": F.when(
             norm.startswith("rgb") | norm.startswith("hsl"),
-            F.regexp_extract_all(inner, F.lit(_ARGUMENT), F.lit(0)),
+            F.split(F.trim(F.translate(inner, _SEPARATORS, " " * len(_SEPARATORS))), " +"),
         ),
     }
 
@@ -275,51 +275,30 @@ def _hex_code(digits: Column) -> Column:
     )
 
 
-def _texts(norm: Column, digits: Column, args: Column) -> dict[str, Column]:
-    """Split the three arguments into number text ``t`` and ``unit``."""
-    is_hsl = norm.startswith("hsl")
-    part = [F.get(args, F.lit(i)) for i in range(3)]
-    hue_unit = F.when(part[0].contains("turn"), "turn").when(part[0].contains("rad"), "rad")
-    columns = {
-        "syntax": F.when(args.isNull(), "fixed").when(is_hsl, "hsl").otherwise("rgb"),
+def _parts(norm: Column, digits: Column, args: Column) -> dict[str, Column]:
+    """Syntax, ``code`` of hex and named colours, the three arguments."""
+    fixed = args.isNull()
+    return {
+        "syntax": F.when(fixed, 0).when(norm.startswith("hsl"), 2).otherwise(1),
         "code": F.when(norm.startswith("#"), _hex_code(digits)).when(
-            args.isNull(), F.try_element_at(_named_map(), norm)
+            fixed, F.try_element_at(_named_map(), norm)
         ),
+        **{f"p{i}": F.get(args, F.lit(i)) for i in range(3)},
     }
-    for i in range(3):
-        bare = F.regexp_replace(part[i], "%" if i else "deg|turn|rad", "")
-        columns[f"t{i}"] = F.when(args.isNotNull(), F.when(is_hsl, bare).otherwise(
-            F.regexp_replace(part[i], r"%\z", "")
-        ))
-        columns[f"unit{i}"] = F.when(is_hsl, F.lit("share") if i else hue_unit).when(
-            part[i].endswith("%"), "%"
-        )
-    return columns
 
 
-def _levels(syntax: Column, code: Column, *rest: Column) -> dict[str, Column]:
-    """Numbers of the three arguments in channel, degree or 0..1 units."""
+def _texts(syntax: Column, code: Column, *part: Column) -> dict[str, Column]:
+    """Number text ``t`` and ``unit`` of each argument."""
+    is_rgb, is_hsl = syntax == 1, syntax == 2
     columns = {"syntax": syntax, "code": code}
-    for i in range(3):
-        number, unit = to_number(rest[2 * i]), rest[2 * i + 1]
-        columns[f"n{i}"] = (
-            F.when(unit == "%", number * F.lit(255.0) / F.lit(100.0))
-            .when(unit == "share", number / F.lit(100.0))
-            .when(unit == "turn", number * F.lit(360.0))
-            .when(unit == "rad", number * F.lit(180.0) / F.lit(math.pi))
-            .otherwise(number)
-        )
+    for i, p in enumerate(part):
+        bare = F.replace(p, F.lit("%"), F.lit("")) if i else F.regexp_replace(p, "deg|turn|rad", "")
+        unit = F.lit("share") if i else F.when(p.contains("turn"), "turn").when(p.contains("rad"), "rad")
+        columns[f"t{i}"] = F.when(is_rgb, F.regexp_replace(p, r"%\z", "")).when(is_hsl, bare)
+        columns[f"unit{i}"] = F.when(is_hsl, unit).when(p.endswith("%"), "%")
     return columns
 
 
-_STEPS = (
-    (("norm",), _cut),
-    (("norm", "digits", "args"), _texts),
-    (("syntax", "code", "t0", "unit0", "t1", "unit1", "t2", "unit2"), _levels),
-)
-_LAST = ("syntax", "code", "n0", "n1", "n2")
-
-
 def _infinite(value: Column) -> Column:
     return F.abs(value) == F.lit(math.inf)
 
@@ -371,12 +350,49 @@ def hsl_to_rgb(hue: Column, saturation: Column, lightness: Column) -> Column:
     )
 
 
+def _numbers(syntax: Column, code: Column, *rest: Column) -> dict[str, Column]:
+    """The three arguments as numbers."""
+    columns = {"syntax": syntax, "code": code}
+    for i in range(3):
+        columns[f"v{i}"] = to_number(rest[2 * i])
+        columns[f"unit{i}"] = rest[2 * i + 1]
+    return columns
+
+
+def _levels(syntax: Column, code: Column, *rest: Column) -> dict[str, Column]:
+    """The arguments in channel, degree or 0..1 units."""
+    columns = {"syntax": syntax, "code": code}
+    for i in range(3):
+        number, unit = rest[2 * i], rest[2 * i + 1]
+        columns[f"n{i}"] = (
+            F.when(unit.isNull(), number)
+            .when(unit == "%", number * F.lit(255.0) / F.lit(100.0))
+            .when(unit == "share", number / F.lit(100.0))
+            .when(unit == "turn", number * F.lit(360.0))
+            .when(unit == "rad", number * F.lit(180.0) / F.lit(math.pi))
+        )
+    return columns
+
+
+def _fixed(syntax: Column, code: Column, n0: Column, n1: Column, n2: Column) -> dict[str, Column]:
+    """``code`` of rgb values too; only hsl is left to convert."""
+    rgb = F.when(syntax == 1, _rgb_code(n0, n1, n2)).otherwise(code)
+    return {"syntax": syntax, "code": rgb, "n0": n0, "n1": n1, "n2": n2}
+
+
+_STEPS = (
+    (("norm",), _cut),
+    (("norm", "digits", "args"), _parts),
+    (("syntax", "code", "p0", "p1", "p2"), _texts),
+    (("syntax", "code", "t0", "unit0", "t1", "unit1", "t2", "unit2"), _numbers),
+    (("syntax", "code", "v0", "unit0", "v1", "unit1", "v2", "unit2"), _levels),
+    (("syntax", "code", "n0", "n1", "n2"), _fixed),
+)
+_LAST = ("syntax", "code", "n0", "n1", "n2")
+
+
 def _code(syntax: Column, code: Column, n0: Column, n1: Column, n2: Column) -> Column:
-    return (
-        F.when(syntax == "fixed", code)
-        .when(syntax == "rgb", _rgb_code(n0, n1, n2))
-        .otherwise(hsl_to_rgb(n0, n1, n2))
-    )
+    return F.when(syntax == 2, hsl_to_rgb(n0, n1, n2)).otherwise(code)
 
 
 def with_colour_code(df: DataFrame, text: str, out: str) -> DataFrame:

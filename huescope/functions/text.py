@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # The characters treated as white space.
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-_WS_CHARS = "".join(chr(c) for c in range(0x3001) if re.match(WS, chr(c)))
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if re.match(WS, chr(c)))
 
 # Named character references that occur in style attributes.
 _REFERENCES = (
@@ -24,7 +24,7 @@ _REFERENCES = (
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.trim(text, F.lit(_WS_CHARS))
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def _code_point_text(reference: Column) -> Column:
