@@ -94,9 +94,10 @@ def upper_median(value: str, where: str = "true") -> str:
 
 # --- pages to results, as a chain of common table expressions ---------------
 
-TOKENS = f"""
+TOKENS = rf"""
 SELECT page_id, unnest(toks) AS tok, CAST(unnest(range(len(toks))) AS INTEGER) AS block
-FROM (SELECT page_id, list_filter(regexp_extract_all(html, '{_TOKEN}', 1), lambda t: t <> '') AS toks FROM styled)
+FROM (SELECT page_id, list_filter(regexp_extract_all(html, '{_TOKEN}', 1),
+        lambda t: regexp_matches(t, '(?i)^<style[\s/>]|\sstyle\s*=')) AS toks FROM styled)
 """
 BLOCKS = r"""
 SELECT page_id, block, regexp_extract(tok, '(?is)^<style[^>]*>(.*)</\s*style\s*>$', 1) AS css

@@ -17,13 +17,14 @@ _ATTRIBUTE = rf"[^\s/>][^\s/=>]*+(?:\s*+=++\s*+(?:{_VALUE}))?+"
 _ATTRIBUTES = rf"(?:[\s/]++|{_ATTRIBUTE})*+"
 
 # Group 1 is set for the tokens of interest only: style elements with their
-# text, other start tags, and script elements if they carry a style attribute.
+# text, start tags with a style attribute, and script elements that have one.
 _TOKEN = (
-    r"(?is)<!--.*?(?:--\s*+>|\z)"
+    r"(?is)(?=<)(?:<!--.*?(?:--\s*+>|\z)"
     rf"|<script(?=[\s/>])(?![^>]*\sstyle){_ATTRIBUTES}(?<!/)>.*?(?:</\s*+script\s*+>|\z)"
+    rf"|<(?!(?:script|style)[\s/>])[a-z][^\s/>]*+(?:[\s/]++|(?!style[\s=/>]){_ATTRIBUTE})*+(?:>|\z)"
     rf"|(<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\s*+\2\s*+>|\z)"
     rf"|<[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\z))"
-    r"|<[!/?][^>]*+(?:>|\z)"
+    r"|<[!/?][^>]*+(?:>|\z))"
 )
 _STYLE_ELEMENT = rf"(?is)^<style(?=[\s/>]){_ATTRIBUTES}(?<!/)>(.*)</\s*+style\s*+>\z"
 _START_TAG = rf"(?is)^<[a-z][^\s/>]*+{_ATTRIBUTES}>"
@@ -37,7 +38,7 @@ _MAY_HAVE_STYLE_ATTRIBUTE = r"(?i)[\s/'\"]style\s*+="
 
 
 def style_tokens(html: Column) -> Column:
-    """ARRAY<STRING> of style elements and start tags in document order."""
+    """ARRAY<STRING> of style elements and styled start tags in document order."""
     return F.array_remove(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(1)), F.lit(""))
 
 
