@@ -123,7 +123,7 @@ COLOUR_TEXTS = f"""
 SELECT l_orderkey, l_linenumber, {any_colour('l_orderkey * 7 + l_linenumber')} AS value FROM lineitem
 """
 WIDE_PAIRS = f"""
-SELECT l_orderkey, l_linenumber,
+SELECT l_orderkey, l_linenumber, l_returnflag,
        '#' || {hex6('l_orderkey * 7919 + l_linenumber % 3 * 65793')} AS fg_text,
        '#' || {hex6('l_orderkey * 104729 + l_linenumber % 2 * 4096')} AS bg_text
 FROM lineitem

@@ -39,7 +39,7 @@ def query(function: Query) -> Query:
 def _sql(spark: SparkSession, folder: str, text: str, *tables: str) -> DataFrame:
     for name in tables:
         frame = spark.read.parquet(f"{folder}/{name}.parquet")
-        (pg.spread(frame) if name == "pages" else frame).createOrReplaceTempView(name)
+        pg.spread(frame).createOrReplaceTempView(name)
     return spark.sql(text)
 
 
@@ -80,10 +80,10 @@ def _colour_texts(spark, folder) -> DataFrame:
     return _sql(spark, folder, inputs.COLOUR_TEXTS, "lineitem")
 
 
-def _wide_pairs(spark, folder) -> DataFrame:
+def _wide_pairs(spark, folder, *more: str) -> DataFrame:
     rows = _sql(spark, folder, inputs.WIDE_PAIRS, "lineitem")
     coded = colours.with_colour_code(colours.with_colour_code(rows, "fg_text", "fg"), "bg_text", "bg")
-    return coded.select("l_orderkey", "l_linenumber", "fg", "bg")
+    return coded.select("l_orderkey", "l_linenumber", "fg", "bg", *more)
 
 
 def _seq(df: DataFrame) -> DataFrame:
@@ -593,10 +593,7 @@ def dedup_pairings(spark, folder):
 @query
 def dedup_pairings_wide(spark, folder):
     """One hot group per return flag holds a third of all rows and more."""
-    flags = spark.read.parquet(f"{folder}/lineitem.parquet").select(
-        "l_orderkey", "l_linenumber", "l_returnflag"
-    )
-    pairs = _wide_pairs(spark, folder).join(flags, ["l_orderkey", "l_linenumber"])
+    pairs = _wide_pairs(spark, folder, "l_returnflag")
     ordered = pairs.withColumn("seq", F.struct("l_orderkey", "l_linenumber"))
     first = pair.dedup_pairings(ordered.withColumn("fg", F.col("fg").bitwiseAND(0xF8F8F8)), "l_returnflag")
     return first.drop("seq")
