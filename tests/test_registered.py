@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from harness.checks import CHECKS
 from harness.compare import database, difference
+from harness.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,12 +16,12 @@ def connection():
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_its_check(spark, connection, name):
-    assert difference(queries()[name](spark, FOLDER), connection, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, FOLDER), connection, CHECKS[name]) is None
 
 
 def test_entry(spark):
