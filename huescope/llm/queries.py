@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huescope.llm import chat, exact_dedup, packing, pii, quality_rules, simhash_dedup, toxicity, warc
+from huescope.llm import chat, exact_dedup, kneser_ney, packing, pii, quality_rules, sentencepieces, simhash_dedup, toxicity, warc
 from huescope.llm.common import table
 from huescope.sources.shared import fresh_path
 
@@ -29,6 +29,12 @@ def toxicity_severity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels", "doc_id", "toxic")))
 
 
+def language_model_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels", "doc_id", "quality", "toxic")
+    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+    return kneser_ney.score_documents(table(spark, folder, "documents", *DOCUMENT), trusted)
+
+
 def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents", *DOCUMENT))
 
@@ -60,6 +66,10 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents", *DOCUMENT))
 
 
+def sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.encode_digests(table(spark, folder, "documents", *DOCUMENT), vocabulary("piece_bpe_32k.model"))
+
+
 def robust_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents", *DOCUMENT))
 
@@ -67,10 +77,12 @@ def robust_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_toxicity": toxicity_severity,
+    "op3_quality_model": language_model_quality,
     "op4_exact_dedup": exact_duplicates,
     "op5_chat_formatting": chat_formatting,
     "op6_simhash_near_dedup": simhash_near_duplicates,
     "op7_warc": warc_conversion,
     "op8_pii": personal_data,
+    "op9_sentencepiece": sentencepiece_codec,
     "op10_quality_rules": robust_quality_rules,
 }
