@@ -10,6 +10,7 @@ import json
 import os
 import time
 
+from harness import queries
 from harness.compare import local_session
 from harness.queries import QUERIES, _results, _site_pages
 
@@ -31,7 +32,8 @@ HEADLINE = {
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    cores = os.environ.get("BENCH_CPUS", "8")
+    spark, queries.PARTITIONS = local_session(cores), int(cores)
     pages = _site_pages(spark, folder).count()
     _results(spark, folder).count()
     seconds = {}

@@ -141,7 +141,8 @@ SELECT row_number() OVER (ORDER BY domain) AS rank, domain, {o.category('domain'
 FROM coloured
 """
 _SITE = inputs.SITE
-_BODY_DIGEST = f"SELECT {_SITE} AS domain, md5(html) AS digest FROM pages WHERE page_id % 6 = 2"
+_READ = f"NOT {inputs.UNREADABLE_RECORD}"
+_BODY_DIGEST = f"SELECT {_SITE} AS domain, md5(html) AS digest FROM pages WHERE page_id % 6 = 2 AND {_READ}"
 
 CHECKS: dict[str, str] = {
     # scans, sources, sinks
@@ -152,7 +153,7 @@ CHECKS: dict[str, str] = {
     "import_capture_csv": o.INDEX,
     "write_index_json": o.INDEX,
     "slice_records": f"SELECT domain, length, md5(record) AS digest FROM ({o.RECORDS})",
-    "write_pages": f"SELECT {_SITE} AS domain, html FROM pages WHERE page_id % 6 < 4",
+    "write_pages": f"SELECT {_SITE} AS domain, html FROM pages WHERE page_id % 6 < 4 AND {_READ}",
     "scan_pages": f"SELECT replace({_SITE}, ':80/', '_80_') AS domain, html FROM pages",
     "write_fetch_log": o.FETCH_LOG,
     "write_results": chain("results", f"SELECT {_RESULT}, {_WORST} FROM results"),
@@ -179,13 +180,18 @@ CHECKS: dict[str, str] = {
     "safe_name": f"SELECT {_SITE} AS domain, replace(replace({_SITE}, '/', '_'), ':', '_') AS name FROM pages",
     "resume_pending": f"SELECT page_id, {_SITE} AS domain FROM pages WHERE page_id % 3 <> 0",
     "join_index_to_archive": f"SELECT domain, filename, CAST(length AS INTEGER) AS size FROM ({o.RECORDS})",
-    "decode_records": f"""SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 4 THEN html END AS html,
-        CASE WHEN page_id % 6 < 4 THEN 'ok' ELSE 'failed' END AS status FROM pages""",
-    "record_charset": f"""SELECT {_SITE} AS domain, CASE page_id % 6 WHEN 3 THEN 'no-such-set' WHEN 5 THEN NULL
-        ELSE 'utf-8' END AS charset FROM pages""",
-    "detect_chunked": f"""SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 5 THEN page_id % 6 IN (2, 4) END AS chunked
+    "read_records": f"""SELECT {_SITE} AS domain, CASE WHEN page_id % 43 <> 9 AND page_id % 4 <> 1 AND page_id % 41 <> 7
+        THEN md5(record) END AS plain_digest, page_id % 43 = 9 AS missing
+        FROM (SELECT page_id, {inputs.record('strlen')} AS record FROM pages)""",
+    "fetch_pages": f"""SELECT domain, status, size, has_error, html FROM ({o.FETCH_LOG})
+        JOIN (SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 4 AND {_READ} THEN html END AS html FROM pages) USING (domain)""",
+    "decode_records": f"""SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 4 AND {_READ} THEN html END AS html,
+        CASE WHEN {inputs.UNREADABLE_RECORD} THEN 'error' WHEN page_id % 6 < 4 THEN 'ok' ELSE 'failed' END AS status FROM pages""",
+    "record_charset": f"""SELECT {_SITE} AS domain, CASE WHEN {inputs.UNREADABLE_RECORD} OR page_id % 6 = 5 THEN NULL
+        WHEN page_id % 6 = 3 THEN 'no-such-set' ELSE 'utf-8' END AS charset FROM pages""",
+    "detect_chunked": f"""SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 5 AND {_READ} THEN page_id % 6 IN (2, 4) END AS chunked
         FROM pages""",
-    "dechunk_bodies": f"{_BODY_DIGEST} UNION ALL SELECT {_SITE}, NULL FROM pages WHERE page_id % 6 = 4",
+    "dechunk_bodies": f"{_BODY_DIGEST} UNION ALL SELECT {_SITE}, NULL FROM pages WHERE page_id % 6 = 4 AND {_READ}",
     "record_status": o.FETCH_LOG,
     "fetch_counts": f"""SELECT count(*) FILTER (status = 'ok') AS fetched, count(*) FILTER (status <> 'ok') AS failed
         FROM ({o.FETCH_LOG})""",

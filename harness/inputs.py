@@ -16,6 +16,10 @@ CATEGORY_DOMAINS = (
 CRAWL = "TEST-2026-08"
 
 
+_CRLF = "chr(13) || chr(10)"
+_LF = "chr(10)"
+
+
 def text(e: str) -> str:
     return f"CAST({e} AS STRING)"
 
@@ -73,7 +77,9 @@ def page_css() -> str:
             hex6("page_id * 97"),
             "';background:url(y.png);color:white;color:#'",
             hex6("page_id * 89"),
-            "'} .t{color:#333;background-color:transparent} .e{padding:1px}</style>'",
+            "'} .t{color:#333;background-color:transparent} .e{padding:1px} .few{color:rgb(inf);color:rgb(1e999, 2)} .nl,'",
+            _CRLF,
+            "'.nl2{color:#123456}</style>'",
         ]
     )
 
@@ -88,10 +94,17 @@ FROM pages
 """
 
 
+# Every pair far above both thresholds; two or three pairs, so that sites tie.
+_COMPLIANT_CSS = """
+'<style>body{color:#111;background:#fff} .x{color:#fff;background-color:#0b0b0b}' ||
+CASE WHEN page_id % 2 = 0 THEN '' ELSE ' .y{color:#000080}' END || '</style>'
+"""
+
+
 def _woven() -> str:
     replacements = [
         ("'<style>p{margin:0}</style>'", page_css()),
-        ("'<div class=\"ad\">'", "'<div class=\"ad\" style=\"color: ' || c4 || '; background: ' || c5 || '\">'"),
+        ("'<div class=\"ad\">'", "'<div class=\"ad\" style=\"c&#00000111;lor&colon; ' || c4 || '; background: ' || c5 || '\">'"),
         (
             "'<article>'",
             "'<article title=\"a>b\" style=''font-family:&quot;x;y&quot;;COLOR:' || c6 || '''>'",
@@ -99,11 +112,13 @@ def _woven() -> str:
         ("'<!-- ad'", "'<!-- <p style=\"color:red\"> ad'"),
         ("'track('", "'var s=\"<i style=color:blue>\";track('"),
         ("'</head>'", "head"),
+        ("'</head>'", "'<script src=/a/>\"<p style=color:red>\"</script><style media=print/>.pr{color:#765432}</style></head>'"),
     ]
     html = "html"
     for old, new in replacements:
         html = f"replace({html}, {old}, {new})"
-    return f"CASE WHEN page_id % 17 = 0 THEN html ELSE {html} END"
+    compliant = f"replace(html, '<style>p{{margin:0}}</style>', {_COMPLIANT_CSS})"
+    return f"CASE WHEN page_id % 17 = 0 THEN html WHEN page_id % 31 = 5 THEN {compliant} ELSE {html} END"
 
 
 def audit_domain(n: str = "page_id") -> str:
@@ -164,8 +179,6 @@ UNION SELECT 'missing' || CAST(page_id AS STRING) || '.example' FROM pages WHERE
 # Archived records: envelope, response headers, body. page_id % 6 selects the
 # framing; the last has no blank line at all. Each archive holds filler bytes
 # around its record.
-_CRLF = "chr(13) || chr(10)"
-_LF = "chr(10)"
 
 
 def _record(head: list[str], newline: str, body: str) -> str:
@@ -195,3 +208,12 @@ SELECT {SITE} AS domain, 'seg/' || CAST(page_id AS STRING) || '.warc' AS filenam
        encode(repeat('x', CAST(page_id % 97 AS INT)) || record || repeat('y', CAST(page_id % 31 AS INT)), 'UTF-8') AS archive
 FROM (SELECT page_id, {record('octet_length')} AS record FROM pages) records
 """
+
+# The same records in archive files of forty pages each. Some are gzip members, one
+# in 41 is a cut-off member, one in 43 is listed under a file that does not exist.
+ARCHIVED = f"""
+SELECT page_id, {SITE} AS domain, 'seg/' || CAST(CAST(floor(page_id / 40) AS BIGINT) AS STRING) || '.warc' AS filename,
+       encode(record, 'UTF-8') AS record, page_id % 4 = 1 AS zipped, page_id % 41 = 7 AS broken, page_id % 43 = 9 AS missing
+FROM (SELECT page_id, {record('octet_length')} AS record FROM pages) records
+"""
+UNREADABLE_RECORD = "(page_id % 41 = 7 OR page_id % 43 = 9)"

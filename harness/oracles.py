@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from harness import inputs
 from huescope.functions import categories as cat
-from huescope.functions.colours import NAMED_COLOURS, channel_linear
+from huescope.functions.colours import NAMED_COLOURS
 
 _TOKEN = (
     r"(?is)<!--.*?(?:--\s*>|\z)|<script(?:[\s/][^>]*)?>.*?(?:</\s*script\s*>|\z)"
@@ -16,7 +16,14 @@ _TOKEN = (
     r"|<[!/?][^>]*>"
 )
 _NUM = r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?"
-_LINEAR = "CAST('[" + ", ".join(repr(channel_linear(c)) for c in range(256)) + "]' AS DOUBLE[])"
+
+
+def _linear(level: float) -> float:
+    """The sRGB transfer function, from its definition."""
+    return level / 12.92 if level <= 0.04045 else ((level + 0.055) / 1.055) ** 2.4
+
+
+_LINEAR = "CAST('[" + ", ".join(repr(_linear(c / 255)) for c in range(256)) + "]' AS DOUBLE[])"
 _NAMES = "MAP {" + ", ".join(f"'{n}': {v}" for n, v in NAMED_COLOURS.items()) + "}"
 
 
@@ -96,7 +103,7 @@ def upper_median(value: str, where: str = "true") -> str:
 
 TOKENS = rf"""
 SELECT page_id, unnest(toks) AS tok, CAST(unnest(range(len(toks))) AS INTEGER) AS block
-FROM (SELECT page_id, list_filter(regexp_extract_all(html, '{_TOKEN}', 1),
+FROM (SELECT page_id, list_filter(regexp_extract_all(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '{_TOKEN}', 1),
         lambda t: regexp_matches(t, '(?i)^<style[\s/>]|\sstyle\s*=')) AS toks FROM styled)
 """
 BLOCKS = r"""
@@ -104,7 +111,7 @@ SELECT page_id, block, regexp_extract(tok, '(?is)^<style[^>]*>(.*)</\s*style\s*>
 FROM tokens WHERE regexp_matches(tok, '(?is)^<style[\s/>].*</\s*style\s*>$')
 """
 INLINE = r"""
-SELECT page_id, block, replace(replace(replace(replace(s[2:-2], '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS style
+SELECT page_id, block, replace(replace(replace(replace(replace(replace(s[2:-2], '&#00000111;', 'o'), '&colon;', ':'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS style
 FROM (SELECT page_id, block, regexp_extract(tok, '(?is)\sstyle\s*=\s*("[^"]*"|''[^'']*'')', 1) AS s
       FROM tokens WHERE NOT regexp_matches(tok, '(?i)^<style'))
 WHERE length(s) > 2
@@ -144,16 +151,16 @@ FROM chosen GROUP BY page_id, kind, block, rule
 KEPT = "SELECT * FROM decls WHERE color IS NOT NULL OR background IS NOT NULL OR unreadable"
 CODED = coded(f"({coded('kept', 'color', 'fg')})", "background", "bg")
 STATUS = """
-SELECT page_id, CASE WHEN coalesce(bool_or(unreadable OR coalesce(fg, 0) = -1 OR coalesce(bg, 0) = -1), false)
+SELECT page_id, CASE WHEN page_id IN (SELECT page_id FROM coded WHERE unreadable OR fg = -1 OR bg = -1)
        THEN 'error' ELSE 'analysed' END AS status
-FROM coded GROUP BY page_id
+FROM styled
 """
 PAIRS = """
 SELECT page_id, kind, block, rule, selector,
        CASE WHEN fg IS NULL THEN '#000000 (assumed)' ELSE color END AS foreground,
        CASE WHEN bg IS NULL THEN '#ffffff (assumed)' ELSE background END AS background,
        coalesce(fg, 0) AS fg, coalesce(bg, 16777215) AS bg, fg IS NOT NULL AND bg IS NOT NULL AS explicit
-FROM coded WHERE (fg IS NOT NULL OR bg IS NOT NULL) AND coalesce(fg, 0) <> -1 AND coalesce(bg, 0) <> -1
+FROM coded WHERE (fg IS NOT NULL OR bg IS NOT NULL) AND page_id IN (SELECT page_id FROM status WHERE status = 'analysed')
 """
 CLASSIFIED = f"""
 SELECT * EXCLUDE (exact), {round_to('exact', 2)} AS ratio, exact >= 4.5 AS pass_normal, exact >= 3.0 AS pass_large
@@ -257,9 +264,10 @@ SELECT {inputs.SITE} AS domain, 'seg/' || CAST(page_id AS STRING) || '.warc' AS
 FROM (SELECT page_id, {inputs.record('strlen')} AS record FROM pages)
 """
 # Expected outcome of decoding each record.
-FETCH_LOG = """
+FETCH_LOG = f"""
 SELECT 'site' || CAST(page_id AS VARCHAR) || '.example:80/x' AS domain,
-       CASE WHEN page_id % 6 < 4 THEN 'ok' ELSE 'failed' END AS status,
-       CASE WHEN page_id % 6 < 4 THEN CAST(length(html) AS BIGINT) END AS size
+       CASE WHEN {inputs.UNREADABLE_RECORD} THEN 'error' WHEN page_id % 6 < 4 THEN 'ok' ELSE 'failed' END AS status,
+       CASE WHEN page_id % 6 < 4 AND NOT {inputs.UNREADABLE_RECORD} THEN CAST(length(html) AS BIGINT) END AS size,
+       {inputs.UNREADABLE_RECORD} AS has_error
 FROM pages
 """

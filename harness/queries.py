@@ -41,10 +41,18 @@ def query(function: Query) -> Query:
 # --- inputs ------------------------------------------------------------------
 
 
+#: Partitions that a derived input is dealt to; None leaves what the scan gives.
+PARTITIONS: int | None = None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    return df.repartition(PARTITIONS) if PARTITIONS else df
+
+
 def _sql(spark: SparkSession, folder: str, text: str, *tables: str) -> DataFrame:
     for name in tables:
         frame = spark.read.parquet(f"{folder}/{name}.parquet")
-        pg.spread(frame).createOrReplaceTempView(name)
+        spread(frame).createOrReplaceTempView(name)
     return spark.sql(text)
 
 
@@ -60,9 +68,7 @@ def _stored(spark, folder, name: str, build: Query) -> DataFrame:
 
 
 def _site_pages(spark, folder) -> DataFrame:
-    return pg.spread(
-        _stored(spark, folder, "sites", lambda s, f: _sql(s, f, inputs.SITES, "pages"))
-    )
+    return spread(_stored(spark, folder, "sites", lambda s, f: _sql(s, f, inputs.SITES, "pages")))
 
 
 def _styled(spark, folder) -> DataFrame:
@@ -102,7 +108,7 @@ def _coded(spark, folder) -> DataFrame:
 
 
 def _pairs(spark, folder) -> DataFrame:
-    return pair.build_pairings(_coded(spark, folder))
+    return pair.build_pairings(_coded(spark, folder), KEY)
 
 
 def _distinct(spark, folder) -> DataFrame:
@@ -213,28 +219,31 @@ def slice_records(spark, folder):
 @query
 def write_pages(spark, folder):
     path = fresh_path(spark, "pages")
-    pg.write_pages(rec.decode_records(_records(spark, folder)), path)
+    fetched = _decoded(spark, folder)
+    pg.write_pages(fetched.unionByName(fetched.where("size > 0").withColumn("html", F.lit("!"))), path)
     return spark.read.parquet(path)
 
 
 def _store_page_files(batches, folder: str):
-    import os
+    """Write through the path's own file system, which every executor reaches."""
+    from pyarrow import fs
 
+    system, base = fs.FileSystem.from_uri(folder)
+    system.create_dir(base)
     for frame in batches:
         for name, html in zip(frame["name"], frame["html"]):
-            with open(os.path.join(folder, f"{name}.html"), "w", encoding="utf-8", newline="") as out:
-                out.write(html)
+            with system.open_output_stream(f"{base}/{name}.html") as out:
+                out.write(html.encode())
         yield frame[["name"]]
 
 
 @query
 def scan_pages(spark, folder):
-    import os
     from functools import partial
 
-    path = fresh_path(spark, "html").removeprefix("file:")
-    os.makedirs(path)
-    text = f"SELECT replace({inputs.SITE}, ':80/', '_80_') AS name, html FROM pages"
+    path = fresh_path(spark, "html")
+    ends = "CASE page_id % 3 WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN chr(13) ELSE chr(10) END"
+    text = f"SELECT replace({inputs.SITE}, ':80/', '_80_') AS name, replace(html, chr(10), {ends}) AS html FROM pages"
     files = _sql(spark, folder, text, "pages")
     files.mapInPandas(partial(_store_page_files, folder=path), "name string").count()
     return pg.scan_pages(spark, path)
@@ -243,8 +252,8 @@ def scan_pages(spark, folder):
 @query
 def write_fetch_log(spark, folder):
     path = fresh_path(spark, "log")
-    pg.write_fetch_log(rec.decode_records(_records(spark, folder)), path)
-    return pg.scan_fetch_log(spark, path).drop("error")
+    pg.write_fetch_log(_decoded(spark, folder), path)
+    return _with_error_flag(pg.scan_fetch_log(spark, path))
 
 
 _RESULT_COLUMNS = (
@@ -405,8 +414,64 @@ def join_index_to_archive(spark, folder):
     return _records(spark, folder).select("domain", "filename", F.octet_length("content").alias("size"))
 
 
+def _store_archive(pages, root: str):
+    """One archive file; returns its index rows."""
+    import gzip
+
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root)
+    system.create_dir(f"{base}/seg")
+    content, rows = b"filler bytes", []
+    for page in pages.sort_values("page_id").itertuples():
+        member = gzip.compress(page.record) if page.zipped or page.broken else page.record
+        member = member[:-9] if page.broken else member
+        rows.append((page.domain, "seg/none.warc" if page.missing else page.filename, len(content), len(member)))
+        content += member
+    with system.open_output_stream(f"{base}/{pages['filename'].iloc[0]}") as out:
+        out.write(content)
+    return pages.iloc[:0].reindex(columns=["domain", "filename", "offset", "length"]).from_records(
+        rows, columns=["domain", "filename", "offset", "length"]
+    )
+
+
+_ARCHIVE_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def _archive_files(spark, folder) -> tuple[DataFrame, str]:
+    """Index rows and root of archive files with several records each, written once per session."""
+    from functools import partial
+
+    key = (spark.sparkContext.applicationId, folder)
+    root = _ARCHIVE_ROOTS.setdefault(key, fresh_path(spark, "archives"))
+
+    def build(s, f) -> DataFrame:
+        rows = _sql(s, f, inputs.ARCHIVED, "pages")
+        schema = "domain string, filename string, offset bigint, length bigint"
+        return rows.groupBy("filename").applyInPandas(partial(_store_archive, root=root), schema)
+
+    return _stored(spark, folder, "archive-index", build), root
+
+
 def _decoded(spark, folder) -> DataFrame:
-    return rec.decode_records(_records(spark, folder))
+    return rec.fetch_pages(*_archive_files(spark, folder))
+
+
+def _with_error_flag(log: DataFrame) -> DataFrame:
+    return log.withColumn("has_error", F.col("error").isNotNull()).drop("error")
+
+
+@query
+def read_records(spark, folder):
+    index, root = _archive_files(spark, folder)
+    read = rec.read_records(index, root)
+    plain = ~F.substring("content", 1, 2).eqNullSafe(F.unhex(F.lit("1F8B")))
+    return read.select("domain", F.when(plain, F.md5("content")).alias("plain_digest"), F.col("content").isNull().alias("missing"))
+
+
+@query
+def fetch_pages(spark, folder):
+    return _with_error_flag(_decoded(spark, folder)).select("domain", "status", "size", "has_error", "html")
 
 
 @query
@@ -431,7 +496,7 @@ def dechunk_bodies(spark, folder):
 
 @query
 def record_status(spark, folder):
-    return rec.record_status(_decoded(spark, folder)).drop("error")
+    return _with_error_flag(rec.record_status(_decoded(spark, folder)))
 
 
 @query
@@ -630,7 +695,7 @@ def page_summary_empty(spark, folder):
 
 @query
 def page_error_status(spark, folder):
-    return pair.page_status(_coded(spark, folder), KEY)
+    return pair.page_status(_styled(spark, folder), _coded(spark, folder), KEY)
 
 
 @query

@@ -283,7 +283,8 @@ def _parts(norm: Column, digits: Column, args: Column) -> dict[str, Column]:
         "code": F.when(norm.startswith("#"), _hex_code(digits)).when(
             fixed, F.try_element_at(_named_map(), norm)
         ),
-        **{f"p{i}": F.get(args, F.lit(i)) for i in range(3)},
+        # fewer than three arguments are no colour, whatever they are
+        **{f"p{i}": F.when(F.size(args) >= 3, F.get(args, F.lit(i))) for i in range(3)},
     }
 
 

@@ -15,18 +15,21 @@ from huescope.functions.text import unescape
 _VALUE = r"""'[^']*+'|"[^"]*+"|(?!['"])[^>\s]*+"""
 _ATTRIBUTE = rf"[^\s/>][^\s/=>]*+(?:\s*+=++\s*+(?:{_VALUE}))?+"
 _ATTRIBUTES = rf"(?:[\s/]++|{_ATTRIBUTE})*+"
+# The rest of a start tag that does not close itself; a slash that ends an unquoted
+# value belongs to the value.
+_NOT_CLOSED = rf"(?:[\s/]*+{_ATTRIBUTE})*+(?:[\s/]++(?<!/))?+>"
 
 # Group 1 is set for the tokens of interest only: style elements with their
 # text, start tags with a style attribute, and script elements that have one.
 _TOKEN = (
     r"(?is)(?=<)(?:<!--.*?(?:--\s*+>|\z)"
-    rf"|<script(?=[\s/>])(?![^>]*\sstyle){_ATTRIBUTES}(?<!/)>.*?(?:</\s*+script\s*+>|\z)"
+    rf"|<script(?=[\s/>])(?![^>]*\sstyle){_NOT_CLOSED}.*?(?:</\s*+script\s*+>|\z)"
     rf"|<(?!(?:script|style)[\s/>])[a-z][^\s/>]*+(?:[\s/]++|(?!style[\s=/>]){_ATTRIBUTE})*+(?:>|\z)"
-    rf"|(<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\s*+\2\s*+>|\z)"
+    rf"|(<(script|style)(?=[\s/>]){_NOT_CLOSED}.*?(?:</\s*+\2\s*+>|\z)"
     rf"|<[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\z))"
     r"|<[!/?][^>]*+(?:>|\z))"
 )
-_STYLE_ELEMENT = rf"(?is)^<style(?=[\s/>]){_ATTRIBUTES}(?<!/)>(.*)</\s*+style\s*+>\z"
+_STYLE_ELEMENT = rf"(?is)^<style(?=[\s/>]){_NOT_CLOSED}(.*)</\s*+style\s*+>\z"
 _START_TAG = rf"(?is)^<[a-z][^\s/>]*+{_ATTRIBUTES}>"
 
 # Walks the attributes; group 1 is the value of a style attribute.

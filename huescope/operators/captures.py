@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALT_BUCKETS = 32
-
 
 def filter_homepage_captures(captures: DataFrame, crawl: str) -> DataFrame:
     """Successful HTML homepages of one crawl.
@@ -22,25 +20,14 @@ def filter_homepage_captures(captures: DataFrame, crawl: str) -> DataFrame:
     )
 
 
-def filter_domain_in(
-    captures: DataFrame, domains: DataFrame, salt_buckets: int = SALT_BUCKETS
-) -> DataFrame:
-    """Keep captures of the listed domains.
+def filter_domain_in(captures: DataFrame, domains: DataFrame) -> DataFrame:
+    """Keep captures of the listed domains: a semi join, broadcast below Spark's threshold.
 
-    A list below Spark's broadcast threshold is broadcast. A longer one is
-    joined by shuffle, and the salt then spreads a domain that owns a large
-    share of all captures over ``salt_buckets`` tasks.
+    A list too long for that is better joined after ``pick_homepage``: the filter is
+    on the key of that pick, so the rows are the same and one per domain is left.
     """
-    salt = F.pmod(F.xxhash64("url"), F.lit(salt_buckets)).cast("int")
-    listed = domains.select(
-        F.col("domain").alias("url_host_registered_domain"),
-        F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("__salt"),
-    )
-    return (
-        captures.withColumn("__salt", salt)
-        .join(listed, ["url_host_registered_domain", "__salt"], "left_semi")
-        .drop("__salt")
-    )
+    listed = domains.select(F.col("domain").alias("url_host_registered_domain"))
+    return captures.join(listed, "url_host_registered_domain", "left_semi")
 
 
 def pick_homepage(captures: DataFrame) -> DataFrame:
@@ -63,8 +50,14 @@ def pick_homepage(captures: DataFrame) -> DataFrame:
 
 
 def utc_text(time: Column) -> Column:
-    """Timestamp as text with milliseconds, in UTC whatever the session's zone."""
-    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSS")
+    """Timestamp as text with milliseconds, in UTC whatever the session's zone.
+
+    Counted from the epoch without a zone, since a local clock skips hours.
+    """
+    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    clock = (epoch + F.expr("INTERVAL '1' SECOND") * F.unix_seconds(time)).cast("string")
+    millis = F.lpad(F.pmod(F.unix_millis(time), F.lit(1000)).cast("string"), 3, "0")
+    return F.concat(clock, F.lit("."), millis)
 
 
 def project_captures(captures: DataFrame) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from huescope.functions import css, html
 from huescope.functions.frames import settled
+from huescope.functions.text import newlines
 
 
 def _tokens(pages: DataFrame, key: str, text: str) -> DataFrame:
-    return pages.select(key, F.posexplode(html.style_tokens(F.col(text))).alias("block", "token"))
+    return pages.select(key, F.posexplode(html.style_tokens(newlines(F.col(text)))).alias("block", "token"))
 
 
 def extract_style_blocks(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:

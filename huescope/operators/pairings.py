@@ -43,17 +43,20 @@ def is_unreadable() -> Column:
     )
 
 
-def build_pairings(coded: DataFrame) -> DataFrame:
+def failed_pages(coded: DataFrame, key: str = "domain") -> DataFrame:
+    """The pages with an unreadable colour anywhere, each once."""
+    return coded.where(is_unreadable()).select(key).distinct()
+
+
+def build_pairings(coded: DataFrame, key: str = "domain") -> DataFrame:
     """Complete each declaration to a pair; the missing side is assumed.
 
     A side counts as missing when its value is no colour, e.g. ``transparent``.
+    A page with an unreadable colour has no pairs at all.
     """
+    coded = coded.join(failed_pages(coded, key), key, "left_anti")
     kept = [c for c in coded.columns if c not in ("color", "background", "fg", "bg", "unreadable")]
-    readable = coded.where(
-        (F.col("fg").isNotNull() | F.col("bg").isNotNull())
-        & F.coalesce(F.col("fg") != UNREADABLE, F.lit(True))
-        & F.coalesce(F.col("bg") != UNREADABLE, F.lit(True))
-    )
+    readable = coded.where(F.col("fg").isNotNull() | F.col("bg").isNotNull())
     return readable.select(
         *kept,
         F.when(F.col("fg").isNotNull(), F.col("color"))
@@ -137,7 +140,8 @@ def worst_pairings_topk(pairings: DataFrame, key: str = "domain", k: int = WORST
     return ranked.where(F.col("place") <= k)
 
 
-def page_status(coded: DataFrame, key: str = "domain") -> DataFrame:
-    """'error' for pages with an unreadable colour anywhere, else 'analysed'."""
-    bad = F.bool_or(is_unreadable())
-    return coded.groupBy(key).agg(F.when(bad, "error").otherwise("analysed").alias("status"))
+def page_status(pages: DataFrame, coded: DataFrame, key: str = "domain") -> DataFrame:
+    """'error' for pages with an unreadable colour anywhere, else 'analysed'; every page has a row."""
+    failed = failed_pages(coded, key).withColumn("__failed", F.lit(True))
+    found = pages.select(key).join(failed, key, "left")
+    return found.select(key, F.when(F.col("__failed"), "error").otherwise("analysed").alias("status"))

@@ -32,13 +32,18 @@ DECODED = {
     "error": ("STRING", pa.string()),
 }
 
-_CHARSET_LINE = re.compile(r"^content-type:[^\n]*charset=([^\n]*)", re.IGNORECASE | re.MULTILINE)
+#: Bytes of record and text that one output batch may hold before it is handed on.
+BATCH_BYTES = 64 * 1024 * 1024
+
+# A chunk's size line, with the line end of the chunk before it and an extension.
+_CHUNK_SIZE = re.compile(rb"\s*([0-9a-f]+)[ \t]*(?:;[^\n]*)?\r\n", re.IGNORECASE)
 
 
 def slice_records(index: DataFrame, archive: DataFrame) -> DataFrame:
     """Add ``content``, the record's bytes, from a table (path, content) of archives.
 
-    For archives kept as table rows; see ``read_records`` for archive files.
+    For small archives kept as table rows, since a row's whole content travels to
+    each of its records; archive files are read by ``read_records``.
     """
     wanted = index.join(archive.withColumnRenamed("content", "__archive"), F.col("filename") == F.col("path"))
     return wanted.select(
@@ -47,119 +52,181 @@ def slice_records(index: DataFrame, archive: DataFrame) -> DataFrame:
     )
 
 
-def _by_region(index: DataFrame) -> DataFrame:
+def fetch_tasks(index: DataFrame) -> int:
+    """A task for every ``REGION_BYTES`` of records: one aggregate over the index."""
+    total = index.agg(F.sum(F.greatest(F.col("length"), F.lit(0)))).first()[0] or 0
+    return max(1, -(-int(total) // REGION_BYTES))
+
+
+def _by_region(index: DataFrame, tasks: int) -> DataFrame:
     """Neighbouring records to one task, a large archive to many tasks.
 
-    The number of tasks is fixed: index rows are small, and partitions sized by
+    The number of tasks is given: index rows are small, and partitions sized by
     their bytes would be merged although each row stands for a whole record.
     """
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     region = F.floor(F.col("offset") / F.lit(REGION_BYTES))
     return index.repartition(tasks, "filename", region).sortWithinPartitions("filename", "offset")
 
 
-def _read_ranges(batches, root: str):
-    """Append ``content``: only the record's bytes are read, NULL if they cannot be."""
-    from pyarrow import fs
+class _Archives:
+    """Range reads below a root; one file is open at a time."""
+
+    def __init__(self, root: str):
+        from pyarrow import fs
+
+        self.system, self.base = fs.FileSystem.from_uri(root)
+        self.name, self.handle = None, None
+
+    def read(self, filename: str | None, offset: int | None, length: int | None) -> bytes:
+        if filename is None or offset is None or length is None or offset < 0 or length < 0:
+            raise ValueError(f"no such range: {filename}, {offset}, {length}")
+        if filename != self.name:
+            self.close()
+            self.handle = self.system.open_input_file(f"{self.base}/{filename}")
+            self.name = filename
+        return self.handle.read_at(length, offset)
 
-    system, base = fs.FileSystem.from_uri(root)
-    name, handle = None, None
+    def close(self) -> None:
+        if self.handle is not None:
+            self.handle.close()
+        self.name, self.handle = None, None
+
+
+def _outcomes(batches, kept: list[str], made: dict[str, pa.DataType], outcome):
+    """Batches of the kept columns and what ``outcome(row)`` makes of each row.
+
+    A batch is handed on as soon as its outcomes hold BATCH_BYTES, so memory does
+    not depend on how many rows Spark sends at once; one larger record goes alone.
+    """
     for batch in batches:
-        contents = []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("filename", "offset", "length")))
-        for filename, offset, length in rows:
-            try:
-                if filename != name:
-                    name, handle = filename, None
-                    handle = system.open_input_file(f"{base}/{filename}")
-                data = handle.read_at(length, offset) if handle else None
-            except OSError:
-                data = None
-            contents.append(data)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(contents, pa.binary())], names=[*batch.schema.names, "content"]
-        )
-
-
-def read_records(index: DataFrame, root: str) -> DataFrame:
-    """Add ``content`` by range reads from the archive files under ``root``."""
+        rows = batch.to_pylist() if "content" not in batch.schema.names else _row_by_row(batch)
+        begin, held, pending = 0, 0, []
+        for at, row in enumerate(rows, start=1):
+            pending.append(outcome(row))
+            held += sum(len(v) for v in pending[-1].values() if isinstance(v, str | bytes))
+            if held >= BATCH_BYTES or at == batch.num_rows:
+                columns = [batch.column(name).slice(begin, at - begin) for name in kept]
+                columns += [pa.array([p[n] for p in pending], kind) for n, kind in made.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
+                begin, held, pending = at, 0, []
+
+
+def _row_by_row(batch):
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
+def _content(archives: _Archives, row: dict) -> dict:
+    try:
+        return {"content": archives.read(row["filename"], row["offset"], row["length"])}
+    except (OSError, ValueError):
+        archives.close()
+        return {"content": None}
+
+
+def _read_batches(batches, root: str, kept: list[str]):
+    archives = _Archives(root)
+    try:
+        yield from _outcomes(batches, kept, {"content": pa.binary()}, lambda row: _content(archives, row))
+    finally:
+        archives.close()
+
+
+def read_records(index: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """Add ``content`` by range reads from the archive files under ``root``.
+
+    NULL where the range or file cannot be read. ``tasks`` defaults to ``fetch_tasks``.
+    """
+    kept = index.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields)
-    return _by_region(index).mapInArrow(
-        lambda batches: _read_ranges(batches, root), f"{fields}, content binary"
+    return _by_region(index, tasks or fetch_tasks(index)).mapInArrow(
+        lambda batches: _read_batches(batches, root, kept), f"{fields}, content binary"
     )
 
 
-def _header_end(data: bytes, start: int) -> tuple[int, int] | None:
-    """(end of the headers, start of what follows) at the first blank line."""
-    for blank in (b"\r\n\r\n", b"\n\n"):
-        at = data.find(blank, start)
-        if at >= 0:
-            return at, at + len(blank)
-    return None
-
-
-def _joined_chunks(body: bytes) -> bytes:
-    """Payload of a chunked body, as far as it is well formed."""
-    parts, at = [], 0
-    while (line_end := body.find(b"\r\n", at)) >= 0:
-        size_text = body[at:line_end].decode("ascii", errors="replace").strip()
-        at = line_end + 2
-        if not size_text:
-            continue
-        try:
-            size = int(size_text.partition(";")[0], 16)
-        except ValueError:
-            break
-        if size <= 0:
-            break
-        parts.append(body[at : at + size])
-        at += size + 2
-    return b"".join(parts)
+def _message(data: bytes) -> tuple[dict[str, list[str]], bytes] | None:
+    """Header fields and body of the archived response, None if either block has no end."""
+    for _ in ("archive's own headers", "response headers"):
+        blank = b"\r\n\r\n" if b"\r\n\r\n" in data else b"\n\n"
+        head, end, data = data.partition(blank)
+        if not end:
+            return None
+    fields: dict[str, list[str]] = {}
+    for line in head.decode("utf-8", errors="replace").lower().split("\n"):
+        name, _, value = line.partition(":")
+        fields.setdefault(name, []).append(value)
+    fields["*"] = [head.decode("utf-8", errors="replace").lower()]
+    return fields, data
 
 
-def _decode_record(raw: bytes | None) -> dict:
-    """Charset, chunking, text and outcome of one record."""
-    out = dict.fromkeys(DECODED)
-    out["status"] = "failed"
-    if raw is None:
-        return out
+def _charset(fields: dict[str, list[str]]) -> str:
+    """What the first content type that names a character set names last; else UTF-8."""
+    named = [v.rpartition("charset=")[2] for v in fields.get("content-type", []) if "charset=" in v]
+    return named[0].strip().rstrip(";").strip() if named else "utf-8"
+
+
+def _chunks(body: bytes):
+    """Payloads of a chunked body up to its empty chunk or the first malformed size line."""
+    size_line = _CHUNK_SIZE.match(body)
+    while size_line and (size := int(size_line[1], 16)):
+        yield body[size_line.end() : size_line.end() + size]
+        size_line = _CHUNK_SIZE.match(body, size_line.end() + size)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    """Gzip members unpacked; bytes that are no gzip as they are. A cut-off member raises EOFError."""
     try:
-        data = gzip.decompress(raw)
+        return gzip.decompress(raw)
     except OSError:
-        data = raw
-    envelope = _header_end(data, 0)
-    http = envelope and _header_end(data, envelope[1])
-    if not http:
-        return out
-    headers = data[envelope[1] : http[0]].decode("utf-8", errors="replace")
-    line = _CHARSET_LINE.search(headers)
-    charset = line[1].lower().strip().rstrip(";").strip() if line else "utf-8"
-    body = data[http[1] :]
-    out["charset"] = charset
-    out["chunked"] = "transfer-encoding: chunked" in headers.lower()
-    if out["chunked"]:
-        body = _joined_chunks(body)
+        return raw
+
+
+def _text(body: bytes, charset: str) -> str:
     try:
-        html = body.decode(charset, errors="replace")
+        return body.decode(charset, errors="replace")
     except (LookupError, UnicodeDecodeError):
-        html = body.decode("utf-8", errors="replace")
+        return body.decode("utf-8", errors="replace")
+
+
+def _decode_record(raw: bytes | None) -> dict:
+    """Charset, chunking, text and outcome of one record."""
+    outcome = dict.fromkeys(DECODED) | {"status": "failed"}
+    if raw is None:
+        return outcome
+    message = _message(_unpacked(raw))
+    if message is None:
+        return outcome
+    fields, body = message
+    outcome["charset"] = _charset(fields)
+    outcome["chunked"] = "transfer-encoding: chunked" in fields["*"][0]
+    html = _text(b"".join(_chunks(body)) if outcome["chunked"] else body, outcome["charset"])
     if html:
         html.encode("utf-8")
-        out.update(html=html, status="ok", size=len(html))
-    return out
+        outcome |= {"html": html, "status": "ok", "size": len(html)}
+    return outcome
 
 
-def _decode_batches(batches, kept: list[str]):
-    for batch in batches:
-        decoded = []
-        for value in batch.column("content"):
-            try:
-                decoded.append(_decode_record(value.as_py()))
-            except Exception as problem:  # noqa: BLE001 - any failure is the record's status
-                decoded.append(dict.fromkeys(DECODED) | {"status": "error", "error": str(problem)})
-        columns = [batch.column(name) for name in kept]
-        columns += [pa.array([d[n] for d in decoded], kind) for n, (_, kind) in DECODED.items()]
-        yield pa.RecordBatch.from_arrays(columns, names=[*kept, *DECODED])
+def _guarded(record) -> dict:
+    """The decoded record; any failure to read or decode is its status."""
+    try:
+        return _decode_record(record())
+    except Exception as problem:  # noqa: BLE001
+        return dict.fromkeys(DECODED) | {"status": "error", "error": str(problem) or type(problem).__name__}
+
+
+_DECODED_TYPES = {n: kind for n, (_, kind) in DECODED.items()}
+
+
+def _fetch_batches(batches, root: str, kept: list[str]):
+    archives = _Archives(root)
+
+    def outcome(row: dict) -> dict:
+        return _guarded(lambda: archives.read(row["filename"], row["offset"], row["length"]))
+
+    try:
+        yield from _outcomes(batches, kept, _DECODED_TYPES, outcome)
+    finally:
+        archives.close()
 
 
 def _decoded_schema(df: DataFrame, kept: list[str]) -> str:
@@ -175,16 +242,20 @@ def decode_records(records: DataFrame) -> DataFrame:
     """
     kept = [c for c in records.columns if c != "content"]
     return records.mapInArrow(
-        lambda batches: _decode_batches(batches, kept), _decoded_schema(records, kept)
+        lambda batches: _outcomes(batches, kept, _DECODED_TYPES, lambda row: _guarded(lambda: row["content"])),
+        _decoded_schema(records, kept),
     )
 
 
-def fetch_pages(index: DataFrame, root: str) -> DataFrame:
-    """``read_records`` and ``decode_records`` in one pass over the Arrow batches."""
+def fetch_pages(index: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """Read and decode in one pass: each record is decoded before the next is read.
+
+    A range or file that cannot be read is an ``error`` row like undecodable bytes.
+    ``tasks`` defaults to ``fetch_tasks``.
+    """
     kept = index.columns
-    return _by_region(index).mapInArrow(
-        lambda batches: _decode_batches(_read_ranges(batches, root), kept),
-        _decoded_schema(index, kept),
+    return _by_region(index, tasks or fetch_tasks(index)).mapInArrow(
+        lambda batches: _fetch_batches(batches, root, kept), _decoded_schema(index, kept)
     )
 
 

@@ -25,6 +25,7 @@ from huescope.functions.colours import (
 )
 from huescope.functions.frames import settled
 from huescope.functions.numeric import percent, round_half_even
+from huescope.functions.text import newlines
 from huescope.operators.pairings import ASSUMED_BACKGROUND, ASSUMED_FOREGROUND, WORST_PER_PAGE
 
 ERROR_TEXT = "unreadable colour value"
@@ -157,7 +158,7 @@ def _distinct_list(pairs: Column) -> Column:
 
 def page_pairings(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:
     """(key, failed, pairings): deduplicated pairings of each page, in discovery order."""
-    tokens = pages.select(key, html.style_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
+    tokens = pages.select(key, html.style_tokens(newlines(F.coalesce(text, F.lit("")))).alias("tokens"))
     declared = tokens.select(key, _declaration_list(_rule_list(F.col("tokens"))).alias("declarations"))
     judged = declared.select(
         key,

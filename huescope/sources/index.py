@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from huescope import schemas
 
@@ -35,9 +36,14 @@ def register_capture_table(
     return spark.table(table)
 
 
-def scan_capture_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a query-result CSV by header name, all text."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+def scan_capture_csv(spark: SparkSession, path: str, line_ends_in_cells: bool = True) -> DataFrame:
+    """Rows of a query-result CSV by header name, all text; an empty cell is the empty text.
+
+    Cells may hold line ends, so a file is read by one task; without such cells, say
+    so and large files are split.
+    """
+    rows = spark.read.csv(path, header=True, multiLine=line_ends_in_cells, escape='"')
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
 
 
 def write_index_json(results: DataFrame, path: str) -> None:

@@ -6,24 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huescope import schemas
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for an input of fewer file splits than cores.
-
-    Page analysis costs far more than reading, so a single small file would
-    keep one core busy. Larger inputs already have more splits and pass as is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+from huescope.functions.text import newlines
 
 
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(domain, html) of every ``*.html`` file; invalid UTF-8 becomes U+FFFD."""
+    """(domain, html) of every ``*.html`` file; invalid UTF-8 becomes U+FFFD, line ends line feeds."""
     files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.html")
     return files.select(
         F.regexp_extract(F.col("path"), r"([^/]*)\.html$", 1).alias("domain"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
+        newlines(F.make_valid_utf8(F.col("content").cast("string"))).alias("html"),
     )
 
 
@@ -33,8 +24,13 @@ def safe_name(domain):
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Store the pages that have text."""
-    pages.where(F.length("html") > 0).select("domain", "html").write.parquet(path)
+    """Store the pages that have text, one for each domain.
+
+    Of several pages of a domain the greatest text stays, so the result does not
+    depend on their order; each task keeps one candidate before the shuffle.
+    """
+    best = pages.where(F.length("html") > 0).groupBy("domain").agg(F.max("html").alias("html"))
+    best.write.parquet(path)
 
 
 def write_fetch_log(log: DataFrame, path: str) -> None:

@@ -61,18 +61,28 @@ def test_lookup_by_broadcast_and_by_shuffle(spark):
         assert {r["status"] for r in index if r["url"] is None} == {"not_found"}
 
 
-def test_salt_splits_a_hot_domain(spark):
+def test_a_long_list_is_not_broadcast(spark):
     rows = captures(spark)
-    salted = rows.groupBy(F.pmod(F.xxhash64("url"), F.lit(cap.SALT_BUCKETS))).count()
-    assert salted.count() == cap.SALT_BUCKETS
+    domains = spark.createDataFrame([(1, "hot.example"), (2, "d1.example"), (3, "none.example")], "rank int, domain string")
+    long = {tuple(r) for r in lookup_homepages(rows, domains, "C", long_list=True).collect()}
+    assert long == {tuple(r) for r in lookup_homepages(rows, domains, "C").collect()}
+    picked = cap.filter_domain_in(cap.pick_homepage(rows), domains.hint("merge"))
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 def test_time_is_text_in_utc(spark):
-    df = spark.createDataFrame([(1,)], "i int").select(F.timestamp_micros(F.lit(1_769_904_000_120_000)).alias("t"))
-    for zone in ("UTC", "America/New_York"):
+    micros = {
+        1_769_904_000_120_000: "2026-02-01 00:00:00.120",
+        1_772_937_000_000_000: "2026-03-08 02:30:00.000",  # an hour that New York's clocks skip
+        1_772_935_200_999_000: "2026-03-08 02:00:00.999",
+        -1_000: "1969-12-31 23:59:59.999",
+    }
+    df = spark.createDataFrame([(m,) for m in micros], "m bigint").select("m", F.timestamp_micros("m").alias("t"))
+    for zone in ("UTC", "America/New_York", "Europe/Berlin"):
         spark.conf.set("spark.sql.session.timeZone", zone)
         try:
-            assert df.select(cap.utc_text(F.col("t"))).first()[0] == "2026-02-01 00:00:00.120"
+            assert {r[0]: r[1] for r in df.select("m", cap.utc_text(F.col("t"))).collect()} == micros
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -87,7 +97,7 @@ def test_import_defaults_fill_absent_columns_only(spark, tmp_path):
     assert len(rows) == 3  # found rows are not deduplicated
     first = next(r for r in rows if r["offset"] == 5)
     assert (first["url"], first["timestamp"], first["mime"], first["digest"]) == (
-        "https://x.example/,a", None, "text/html", "",
+        "https://x.example/,a", "", "text/html", "",
     )
     assert [r["domain"] for r in rows if r["status"] == "not_found"] == ["y.example"]
 

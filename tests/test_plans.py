@@ -57,3 +57,35 @@ def test_worst_list_is_cut_before_the_shuffle(rows):
 def test_page_statistics_are_partial(rows):
     text = plan(pair.page_contrast_summary(rows, "id"))
     assert text.count("Exchange") == 1 and "partial_count" in text and "partial_percentile" in text
+
+
+def test_report_is_sorted_once(spark, tmp_path, monkeypatch):
+    from huescope.operators import report
+    from huescope.sources import results
+
+    sites = spark.range(500).select(F.concat(F.lit("d"), F.col("id")).alias("domain"), F.col("id").alias("total_pairings"))
+    plans = []
+    monkeypatch.setattr(report, "materialised", lambda df, keep=report.materialised: plans.append(plan(df)) or keep(df))
+    ranked = report.report_rank(sites)
+    plans.append(plan(ranked.sortWithinPartitions("rank")))
+    assert sum(p.count("rangepartitioning") for p in plans) == 1
+    results.write_report_csv(ranked, str(tmp_path / "r"), single_file=True)
+    lines = [f.read_text().split() for f in (tmp_path / "r").glob("part-*.csv")]
+    assert [int(x.split(",")[0]) for x in lines[0][1:]] == list(range(1, 501))
+
+
+def test_row_path_equals_the_page_analysis(spark, pages):
+    """Every page, error pages included, has the same statistics either way."""
+    from harness.queries import QUERIES
+
+    found = {r["page_id"]: r.asDict() for r in QUERIES["page_summary_empty"](spark, FOLDER).collect()}
+    status = {r["page_id"]: r["status"] for r in QUERIES["page_error_status"](spark, FOLDER).collect()}
+    from harness.queries import _styled
+
+    audit = {r["page_id"]: r.asDict() for r in analyse_pages(_styled(spark, FOLDER), "page_id").collect()}
+    assert set(audit) == set(found) == set(status) and "error" in status.values()
+    for page, row in audit.items():
+        assert row["status"] == status[page]
+        for name in ("total_pairings", "pass_normal", "fail_large", "pass_rate_normal", "worst_ratio", "median_ratio", "mean_ratio"):
+            want = row[name] if row["status"] == "analysed" else 0 if name in ("total_pairings", "pass_normal", "fail_large") else None
+            assert found[page][name] == want, (page, name)

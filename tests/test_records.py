@@ -1,5 +1,6 @@
 import gzip
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,7 +105,24 @@ def test_one_archive_is_read_by_many_tasks(spark):
         F.lit("x").alias("domain"), F.lit("one").alias("filename"),
         (F.col("id") * rec.REGION_BYTES).alias("offset"), F.lit(1).cast("bigint").alias("length"),
     )
-    assert rec._by_region(index).select(F.spark_partition_id()).distinct().count() > 1
+    assert rec._by_region(index, rec.fetch_tasks(index.withColumn('length', F.lit(rec.REGION_BYTES)))).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_bad_ranges_are_error_rows(spark, archives):
+    root, _ = archives
+    bad = [("null", "a.warc.gz", None, 5), ("before", "a.warc.gz", -1, 5), ("size", "a.warc.gz", 0, -5), ("name", None, 0, 5)]
+    rows = spark.createDataFrame([*bad, ("gone", "none.gz", 0, 5)], SCHEMA)
+    fetched = rec.fetch_pages(rows, str(root), tasks=2).collect()
+    assert {(r["status"], r["html"]) for r in fetched} == {("error", None)} and all(r["error"] for r in fetched)
+    assert {r["content"] for r in rec.read_records(rows, str(root)).collect()} == {None}
+
+
+def test_batches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(rec, "BATCH_BYTES", 1000)
+    batch = pa.RecordBatch.from_pylist([{"content": record(b"X: y", b"z" * n)} for n in (300, 300, 300, 300, 5000, 10)])
+    out = list(rec._outcomes([batch], [], rec._DECODED_TYPES, lambda row: rec._guarded(lambda: row["content"])))
+    assert sum(b.num_rows for b in out) == 6 and len(out) >= 3
+    assert all(sum(b.column("size").to_pylist()[:-1]) < 1000 for b in out)
 
 
 def test_resume_uses_the_safe_name(spark):
