@@ -32,8 +32,8 @@ from huescope.llm.common import arrow_map, pick, stored, text_or_empty
 SHARE = 0.75
 #: Least rows of a (language, source) group with an estimate of its own.
 LEAST_GROUP = 100
-#: Chi-squared quantiles with six degrees of freedom at 0.75 and at 1 - 1e-9.
-CHI_SHARE, CHI_CUT = 7.8408, 55.07
+#: Chi-squared quantiles with six degrees of freedom at 0.75 and at 1 - 1e-5.
+CHI_SHARE, CHI_CUT = 7.8408, 33.107
 #: Least standard deviations: log words, log word length, symbols, repeated lines, repeated words, capitals.
 FLOORS = (0.5, 0.15, 0.5, 0.15, 0.15, 0.15)
 MOST_STEPS, BANDS = 20, 16

@@ -9,7 +9,8 @@ documents, in how many toxic and clean ones each word occurs.
 The model is the proportional-odds one: P(grade > k) = sigmoid(w . x - cut[k]),
 one weight vector for all ordered cuts. x is sparse: log counts of the chosen
 words. The expected severity is the sum of the three probabilities; a document
-is toxic when grade 0 is less likely than the rest together.
+is toxic when grade 0 is less likely than the rest together. One more feature counts all marking words together,
+so that a rare one weighs like its kind.
 """
 
 from __future__ import annotations
@@ -50,17 +51,21 @@ class SeverityModel:
 
     def exceed(self, text: str) -> list[float]:
         """P(grade > k) for k = 0 .. GRADES - 1."""
-        score = sum(self.weights[i] * x for i, x in features(text, self.words))
+        score = sum(self.weights[i] * x for i, x in features(text, self.words, self.marking))
         return [1 / (1 + math.exp(min(700.0, max(-700.0, c - score)))) for c in self.cuts]
 
 
-def features(text: str, words: dict[str, int]) -> list[tuple[int, float]]:
-    """(index, log count) of the model's words in a text."""
+def features(text: str, words: dict[str, int], marking: frozenset[str]) -> list[tuple[int, float]]:
+    """(index, log count) of the model's words in a text; behind them, of all marking words together."""
     counts: dict[int, int] = {}
+    hits = 0
     for word in words_of(text):
         i = words.get(word)
         if i is not None:
             counts[i] = counts.get(i, 0) + 1
+            hits += word in marking
+    if hits:
+        counts[len(words)] = hits
     return [(i, math.log1p(n)) for i, n in sorted(counts.items())]
 
 
@@ -112,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> SeverityModel:
 
     def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text, toxic in incoming:
-            found = features(text, words)
+            found = features(text, words, marking)
             hits = sum(1 for w in words_of(text) if w in marking) if toxic else 0
             yield doc_id, toxic, hits, [i for i, _ in found], [x for _, x in found]
 
@@ -129,12 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     sizes = np.array([len(r["at"]) for r in sample])
     at = np.array([i for r in sample for i in r["at"]], dtype=np.int64)
     x = np.array([v for r in sample for v in r["x"]])
-    weights, cuts = fit_cumulative(np.repeat(np.arange(len(sample)), sizes), at, x, grade, len(words))
+    weights, cuts = fit_cumulative(np.repeat(np.arange(len(sample)), sizes), at, x, grade, len(words) + 1)
     return SeverityModel(words, weights, cuts, marking)
 
 
 def fit_cumulative(
-    row: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, steps: int = 400, ridge: float = 1e-3
+    row: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, steps: int = 600, ridge: float = 1e-5
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered cuts by accelerated gradient (Adam) on the mean log loss.
 
