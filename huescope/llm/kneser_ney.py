@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
 One model of character n-grams for each language, counted over all trusted text
-but a held-out tenth. Tasks count the n-grams of their own rows and hand on each
+but a held-out fifth. Tasks count the n-grams of their own rows and hand on each
 different one once; the sums, continuation counts, contexts and discounts are
 sharded joins and aggregates keyed by n-gram, so no table is gathered anywhere.
 
@@ -11,8 +11,10 @@ to the model, and the answers are stored by block. A scoring task reads the
 answers of its own block only, whose number is bounded by the block's text, and
 adds up the log probabilities of every character of every document.
 
-A document is kept when its perplexity is at most its language's quantile over
-held-out trusted documents. A language without held-out text keeps all.
+A document is kept when its steadied perplexity is at most its language's quantile
+of the same over held-out trusted documents, and ``SLACK``. Steadied: ``STEADY`` characters of the
+language's mean log probability are added, so a few odd characters do not condemn a
+short text. A language without held-out text keeps all.
 """
 
 from __future__ import annotations
@@ -29,9 +31,13 @@ from huescope.sources.shared import fresh_path
 
 ORDER = 4
 #: One trusted document in so many is not counted but sets the threshold.
-HELD_OUT = 10
+HELD_OUT = 5
 #: Share of held-out trusted documents that a language's threshold keeps.
 QUANTILE = 0.999
+#: Thresholds are this much above the quantile: few held-out documents understate it.
+SLACK = 1.15
+#: Characters of average text added to each document before it is judged.
+STEADY = 100
 #: Characters that are turned into n-grams at once.
 _SLICE = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -239,7 +245,7 @@ def log_chances(grams: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) ->
 
 
 def _scores(blocks: DataFrame, roles: str, answers: str, order: int) -> DataFrame:
-    """doc_id, lang, role, perplexity of the documents of each block."""
+    """doc_id, lang, role, chars, loss (negative log probability) of the documents of each block."""
     kind = blocks.schema["doc_id"].dataType.simpleString()
 
     def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
@@ -248,17 +254,17 @@ def _scores(blocks: DataFrame, roles: str, answers: str, order: int) -> DataFram
             if block != at:
                 at, known = block, _answers_of(read_side(answers, block), order)
             if lang not in known or not text:
-                yield doc_id, lang, role, None
+                yield doc_id, lang, role, len(text), None
                 continue
             keys, values = known[lang]
             total = 0.0
             for part in _slices(text):
                 hashes = _hashes(_codes(part, order), order)
                 total += float(values[np.searchsorted(keys, hashes)].sum(dtype=np.float64))
-            yield doc_id, lang, role, round(float(np.exp(-total / len(text))), 6)
+            yield doc_id, lang, role, len(text), round(-total, 6)
 
     chosen = blocks.select("block", "doc_id", "lang", "text", F.col("block").alias("own"))
-    return arrow_map(chosen, rows, f"doc_id {kind}, lang string, role string, perplexity double", 5000)
+    return arrow_map(chosen, rows, f"doc_id {kind}, lang string, role string, chars long, loss double", 5000)
 
 
 def _answers_of(table: pa.Table | None, order: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -276,7 +282,7 @@ def _answers_of(table: pa.Table | None, order: int) -> dict[str, tuple[np.ndarra
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """One row per document: doc_id, lang, perplexity, threshold, kept.
+    """One row per document: doc_id, lang, perplexity, steadied, threshold, kept.
 
     ``trusted`` has the doc_ids of trusted documents. Null language is a language of
     its own (the empty one); null or empty text, or a language without trusted text, has no
@@ -300,9 +306,17 @@ def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, qua
     answers = stored(log_chances(asked.select("lang", "gram").distinct(), tables), "answers")
     path = write_sides(asked.join(answers, ["lang", "gram"]), "block-answers")
     scored = stored(_scores(blocks, roles, path, order), "perplexities")
-    limits = scored.where("role = 'held' and perplexity is not null").groupBy("lang").agg(
-        F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
+    held = scored.where("role = 'held' and loss is not null")
+    means = held.groupBy("lang").agg((F.sum("loss") / F.sum("chars")).alias("mean"))
+    steadied = scored.join(means, "lang", "left").withColumn(
+        "steadied", F.exp((F.col("loss") + STEADY * F.col("mean")) / (F.col("chars") + STEADY))
+    )
+    limits = steadied.where("role = 'held' and loss is not null").groupBy("lang").agg(
+        (SLACK * F.percentile_approx("steadied", quantile, 10_000)).alias("threshold")
+    )
+    judged = steadied.join(limits, "lang", "left")
+    kept = F.coalesce(F.col("steadied") <= F.col("threshold"), F.lit(True))
+    perplexity = F.round(F.exp(F.col("loss") / F.col("chars")), 6)
+    return judged.select(
+        "doc_id", "lang", perplexity.alias("perplexity"), F.round("steadied", 6).alias("steadied"), "threshold", kept.alias("kept")
     )
-    judged = scored.join(limits, "lang", "left")
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return judged.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
