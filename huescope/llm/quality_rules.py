@@ -2,8 +2,8 @@
 
 Each document gets a vector of transformed statistics. For every language and
 source the minimum-covariance-determinant estimate is found by concentration
-steps that run as aggregates over all documents: distances under the current
-estimate, the ``SHARE`` of rows with the smallest distances, their mean and
+steps that run as aggregates over all documents, from medians and interquartile
+ranges on: distances under the current estimate, the ``SHARE`` of rows with the smallest distances, their mean and
 covariance, again, until the determinants no longer fall. Which distances are
 smallest is read from counts per narrow band of the distance, so a group with a
 third of all rows folds on the map side like any other. A document whose
@@ -147,6 +147,19 @@ def _moments(rows: DataFrame) -> DataFrame:
     return stored(averaged.mapInArrow(invert, schema), "mcd")
 
 
+def _start(rows: DataFrame) -> DataFrame:
+    """A first estimate that up to a quarter of outliers cannot move: medians and interquartile ranges."""
+    quartiles = rows.groupBy(*_GROUP).agg(*[F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(v) for v in _V])
+    zero = F.lit(0.0)
+    inverse = [
+        1.0 / (F.pow((F.col(v)[2] - F.col(v)[0]) / 1.349, F.lit(2)) + F.lit(FLOORS[i] ** 2)) if i == j else zero
+        for i, v in enumerate(_V)
+        for j in range(DIMENSIONS)
+    ]
+    centre = F.array(*[F.col(v)[1] for v in _V])
+    return stored(quartiles.select(*_GROUP, centre.alias("centre"), F.array(*inverse).alias("inverse")), "mcd-start")
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of v under centre and inverse."""
     gaps = [F.col(v) - F.col("centre")[i] for i, v in enumerate(_V)]
@@ -176,7 +189,7 @@ def _cuts(banded: DataFrame) -> DataFrame:
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """lang_of, source_of, centre, inverse, scale: the estimate of each group of ``rows``."""
-    estimate, last = _moments(rows), None
+    estimate, last = _start(rows), None
     for _ in range(MOST_STEPS):
         cuts = stored(_cuts(_banded(rows, estimate)), "mcd-cuts")
         core = _banded(rows, estimate).join(cuts, _GROUP).where("band <= cut")
