@@ -396,19 +396,19 @@ def _code(syntax: Column, code: Column, n0: Column, n1: Column, n2: Column) -> C
     return F.when(syntax == 2, hsl_to_rgb(n0, n1, n2)).otherwise(code)
 
 
-def with_colour_code(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the colour code of a text column; the prefix alone decides the syntax."""
-    kept = [F.col(c) for c in df.columns]
-    frame = df.select(*kept, normalised(F.col(text)).alias("__norm"))
-    for names, step in _STEPS:
-        columns = step(*[F.col(f"__{n}") for n in names])
-        frame = frame.select(*kept, *[c.alias(f"__{n}") for n, c in columns.items()])
-    code = _code(*[F.col(f"__{n}") for n in _LAST])
-    return settled(frame, kept, {out: code})
+def _direct(norm: Column, other: Column) -> Column:
+    """Plain hex digits and names at once; ``other`` is evaluated for the rest only."""
+    doubled = F.regexp_replace(norm, r"([0-9a-f])", "$1$1")
+    return (
+        F.when(norm.rlike(r"^#[0-9a-f]{6}\z"), F.conv(F.substring(norm, 2, 6), 16, 10).cast("int"))
+        .when(norm.rlike(r"^#[0-9a-f]{3}\z"), F.conv(F.substring(doubled, 2, 6), 16, 10).cast("int"))
+        .when(norm.startswith("#") | norm.startswith("rgb") | norm.startswith("hsl"), other)
+        .otherwise(F.try_element_at(_named_map(), norm))
+    )
 
 
-def colour_codes(texts: Column) -> Column:
-    """ARRAY<STRING> to ARRAY<INT> of colour codes."""
+def _stepped(norms: Column) -> Column:
+    """Colour codes of normalised texts by the parsing steps."""
 
     def advance(names: tuple[str, ...], step):
         def one(item: Column) -> Column:
@@ -417,12 +417,28 @@ def colour_codes(texts: Column) -> Column:
 
         return one
 
-    items = F.transform(texts, lambda t: F.struct(normalised(t).alias("norm")))
+    items = F.transform(norms, lambda n: F.struct(n.alias("norm")))
     for names, step in _STEPS:
         items = F.transform(items, advance(names, step))
     return F.transform(items, lambda x: _code(*[x.getField(n) for n in _LAST]))
 
 
+def _code_of(norm: Column) -> Column:
+    return _direct(norm, F.get(_stepped(F.array(norm)), F.lit(0)))
+
+
+def with_colour_code(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the colour code of a text column; the prefix alone decides the syntax."""
+    kept = [F.col(c) for c in df.columns]
+    frame = df.select(*kept, normalised(F.col(text)).alias("__norm"))
+    return settled(frame, kept, {out: _code_of(F.col("__norm"))})
+
+
+def colour_codes(texts: Column) -> Column:
+    """ARRAY<STRING> to ARRAY<INT> of colour codes."""
+    return F.transform(F.transform(texts, normalised), _code_of)
+
+
 def colour_code_of(text: Column) -> Column:
     """Colour code of one value."""
     return F.get(colour_codes(F.array(text)), F.lit(0))
