@@ -2,13 +2,15 @@
 
 Labels say toxic or not; severity grades come from them: 0 for documents labelled
 clean, 1 to 3 for toxic ones by how many words they hold that mark toxic
-documents (thirds of the labelled toxic documents). Those marking words, and the
-other words the model looks at, are found by counting, over all labelled
-documents, in how many toxic and clean ones each word occurs.
+documents (thirds of the sampled toxic documents). Those marking words, and the
+other words the model looks at, are found by counting, over a sample of labelled
+documents, in how many toxic and clean ones each word occurs. The sample has at
+most ``SAMPLE_ROWS`` documents of each verdict, so it is chosen by id, sent to the
+scan of the documents, and no text is shuffled for it.
 
 The model is the proportional-odds one: P(grade > k) = sigmoid(w . x - cut[k]),
 one weight vector for all ordered cuts. x is sparse: log counts of the chosen
-words. The expected severity is the sum of the three probabilities; a document
+words, weaker in texts of more than ``FREE_WORDS`` words, which hold a few by chance. The expected severity is the sum of the three probabilities; a document
 is toxic when grade 0 is less likely than the rest together. One more feature counts all marking words together,
 so that a rare one weighs like its kind.
 """
@@ -21,18 +23,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huescope.llm.common import arrow_map, pick, stored, text_or_empty
 
-#: Bound on the labelled rows of each class that the regression is fitted on.
+#: Bound on the labelled documents of each verdict that the model is fitted on.
 SAMPLE_ROWS = 10_000
-#: Words the model looks at, and the least toxic documents that must hold one.
-MODEL_WORDS, LEAST_TOXIC = 2000, 5
+#: Words the model looks at, the least toxic documents that must hold one, and the
+#: least likelihood-ratio statistic of its difference between the verdicts.
+MODEL_WORDS, LEAST_TOXIC, LEAST_G2 = 500, 5, 20.0
 #: A word marks toxic documents when this many times as common there as in clean ones.
 MARKING_ODDS = 8.0
 GRADES = 3
+FREE_WORDS = 200
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -58,19 +62,20 @@ class SeverityModel:
 def features(text: str, words: dict[str, int], marking: frozenset[str]) -> list[tuple[int, float]]:
     """(index, log count) of the model's words in a text; behind them, of all marking words together."""
     counts: dict[int, int] = {}
-    hits = 0
-    for word in words_of(text):
+    hits, found = 0, words_of(text)
+    for word in found:
         i = words.get(word)
         if i is not None:
             counts[i] = counts.get(i, 0) + 1
             hits += word in marking
     if hits:
         counts[len(words)] = hits
-    return [(i, math.log1p(n)) for i, n in sorted(counts.items())]
+    weaker = 1 + math.log(max(1.0, len(found) / FREE_WORDS))
+    return [(i, math.log1p(n) / weaker) for i, n in sorted(counts.items())]
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """word, toxic_docs, clean_docs over all labelled documents (doc_id, text, toxic)."""
+    """word, toxic_docs, clean_docs over labelled documents (doc_id, text, toxic)."""
 
     def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
         seen: dict[str, list[int]] = {}
@@ -86,6 +91,18 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return folded.groupBy("word").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs"))
 
 
+def _likelihood_ratio(toxic: int, clean: int) -> Column:
+    """G squared of a word's document counts against equal shares in both classes."""
+    share = (F.col("toxic_docs") + F.col("clean_docs")) / F.lit(float(toxic + clean))
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    cells = [(F.col("toxic_docs"), float(toxic)), (F.col("clean_docs"), float(clean))]
+    terms = [term(n, size * share) + term(size - n, size * (1 - share)) for n, size in cells]
+    return 2 * (terms[0] + terms[1])
+
+
 def choose_words(labelled: DataFrame) -> tuple[dict[str, int], frozenset[str]]:
     """The words with the clearest difference between the classes, and those that mark toxic ones."""
     totals = labelled.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("rows")).first()
@@ -93,24 +110,29 @@ def choose_words(labelled: DataFrame) -> tuple[dict[str, int], frozenset[str]]:
     if not toxic or not clean:
         return {}, frozenset()
     odds = F.log((F.col("toxic_docs") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean_docs") + 0.5) / (clean + 1.0))
-    spread = F.sqrt(1 / (F.col("toxic_docs") + 0.5) + 1 / (F.col("clean_docs") + 0.5))
-    scored = word_counts(labelled).where(F.col("toxic_docs") >= LEAST_TOXIC).withColumns({"odds": odds, "z": odds / spread})
-    best = scored.where(F.abs("z") > 3).orderBy(F.abs("z").desc(), "word").limit(MODEL_WORDS).select("word", "odds").collect()
+    counts = word_counts(labelled).where(F.col("toxic_docs") >= LEAST_TOXIC)
+    scored = counts.withColumns({"odds": odds, "g2": _likelihood_ratio(toxic, clean)})
+    best = scored.where(F.col("g2") > LEAST_G2).orderBy(F.col("g2").desc(), "word").limit(MODEL_WORDS)
+    best = best.select("word", "odds").collect()
     marking = frozenset(r["word"] for r in best if r["odds"] > math.log(MARKING_ODDS))
     return {r["word"]: i for i, r in enumerate(best)}, marking
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> SeverityModel:
-    """Fit on the labelled documents; without labels of both classes nothing is toxic.
+    """Fit on a bounded sample of labelled documents; without both verdicts nothing is toxic.
 
-    Words are counted over all labelled rows; the regression takes at most
-    ``SAMPLE_ROWS`` of each class, those with the smallest hash of their id.
-    Labels with nulls, or with several verdicts (any toxic wins), are defined.
+    At most ``SAMPLE_ROWS`` documents of each verdict are taken, those with the
+    smallest hash of their id; equal texts count once. Labels with nulls are left
+    out, of several verdicts on one document toxic wins.
     """
-    verdicts = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    verdicts = verdicts.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    verdicts = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
+    verdicts = stored(verdicts.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "verdicts")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = [verdicts.where(F.col("toxic") == v).orderBy(*order).limit(SAMPLE_ROWS) for v in (0, 1)]
     texts = pick(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    labelled = texts.join(verdicts, "doc_id").where("toxic in (0, 1)")
+    # at most 2 x SAMPLE_ROWS ids are broadcast
+    sample = texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    labelled = stored(sample.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")), "labelled-sample")
     words, marking = choose_words(labelled)
     if not words:
         return SeverityModel({}, np.zeros(0), np.full(GRADES, 50.0), marking)
@@ -124,10 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     kind = labelled.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, toxic int, hits long, at array<int>, x array<double>"
     sparse = stored(arrow_map(labelled.select("doc_id", "text", "toxic"), rows, schema), "severity-rows")
-    order = [F.xxhash64("doc_id"), "doc_id", "hits", F.size("at")]
-    sample = [
-        r for verdict in (0, 1) for r in sparse.where(F.col("toxic") == verdict).orderBy(*order).limit(SAMPLE_ROWS).collect()
-    ]
+    sample = sorted(sparse.collect(), key=lambda r: (r["doc_id"], r["toxic"], r["hits"], r["at"]))
     hits = sorted(r["hits"] for r in sample if r["toxic"])
     thirds = [hits[len(hits) * k // GRADES] for k in range(1, GRADES)]
     grade = np.array([r["toxic"] + sum(r["toxic"] and r["hits"] > t for t in thirds) for r in sample])
