@@ -73,7 +73,7 @@ def test_added_spans_and_redaction(spark):
     lines = []
     for i in range(300):
         lines += [f"write to user{i}@mail.example.com now", f"call +1 (212) 555-{1000 + i} today", f"Version 2.{i} of 200{i % 10}"]
-        lines += [f"password={'%08x' % (i * 7919)}aa ok", f"key AKIA{'%016d' % i} x", f"number {4000000000000000 + i} y"]
+        lines += [f"password={'%08x' % (i * 7919)}aa ok", f"key AKIAB{'%015d' % i} x", f"number {4000000000000000 + i} y"]
     frame = edge.frame(spark, [(i, t, "en", "s", len(t), 1, "", "") for i, t in enumerate(lines)])
     spans = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame).collect()}
     assert all(spans[i].startswith("email:9:") for i in range(0, 1800, 6))
