@@ -165,7 +165,11 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     Rows without an id cannot be told apart and are kept.
     """
-    found = simhash_dedup(docs, id_column, text_column)
+    return keep_least(docs, simhash_dedup(docs, id_column, text_column), id_column)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """The rows of ``docs`` without those whose id is not its component's smallest in ``found``."""
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
     places = [f"_c{i}" for i in range(len(docs.columns))]
     at = places[docs.columns.index(id_column)]

@@ -8,7 +8,8 @@ from collections import defaultdict
 import edge
 import xxhash
 
-from huescope.llm import exact_dedup, simhash_dedup
+import corpus_pipeline
+from huescope.llm import exact_dedup, near_copies, simhash_dedup
 from huescope.llm.components import components
 
 
@@ -158,3 +159,75 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r["node"]: r["least"] for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similar_components(texts):
+    """Smallest id reached over pairs with five-word Jaccard >= 0.8, every pair compared."""
+    sets, root = {i: shingle_set(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {i: top(i) for i in texts}
+
+
+def near_copy_texts():
+    chance = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    line = " ".join(chance.choices(vocabulary, k=30))
+    texts = []
+    for n in range(40):  # near copies around the limit, in chains
+        words = chance.choices(vocabulary, k=chance.choice([6, 12, 60, 200]))
+        for _ in range(4):
+            texts.append(" ".join(words))
+            for _ in range(chance.randint(0, len(words) // 40 + 1)):
+                words[chance.randrange(len(words))] = chance.choice(vocabulary)
+    base = chance.choices(vocabulary, k=150)
+    for _ in range(60):  # one large group
+        words = list(base)
+        for _ in range(chance.randint(1, 4)):
+            words[chance.randrange(len(words))] = chance.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += [line + " " + " ".join(chance.choices(vocabulary, k=chance.randint(0, 9))) for _ in range(60)]  # a common line
+    texts += ["", " ", "one", "ONE", "a b c d e", "a b c d e f"]
+    chance.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+def test_shingle_stage_links_every_similar_pair(spark):
+    texts = near_copy_texts()
+    want = similar_components(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r[0] for r in corpus_pipeline.simhash_stage(spark, docs, "").select("doc_id").collect()}
+    assert kept == {i for i, least in want.items() if i == least}
+    assert kept != {r[0] for r in simhash_dedup.keep_first(docs).select("doc_id").collect()}
+
+
+def test_shingle_stage_with_every_key_dense(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "DENSE", 1)
+    monkeypatch.setattr(near_copies, "HUBS", 1)
+    texts = near_copy_texts()
+    want = similar_components(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r[0] for r in near_copies.keep_first(docs).select("doc_id").collect()}
+    assert kept == {i for i, least in want.items() if i == least}
+
+
+def test_shingle_stage_bears_edge_rows(docs, no_docs):
+    kept = near_copies.keep_first(docs)
+    known = {r[0]: r[1] for r in edge.rows() if r[0] not in (None, 9)}
+    want = similar_components(known)
+    assert {r[0] for r in kept.collect() if r[0] not in (None, 9)} == {i for i, least in want.items() if i == least}
+    assert kept.columns == docs.columns and near_copies.keep_first(no_docs).count() == 0
