@@ -149,29 +149,32 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     """Best-fit decreasing on length counts: (length, first_rank, count, first_bin, offset).
 
     Pieces of ``length`` with ranks first_rank.. go one each into bins first_bin..
-    at ``offset``. Each row either uses up a length or a run of bins, so there are
-    at most capacity x (runs) rows; with runs merged per remaining capacity that is
-    bounded by the square of the capacity, whatever the number of documents.
+    at ``offset``. Each step fills a run of bins, or as
+    many of it as a length fills, and a last one takes what is left of the length;
+    so the rows are bounded by the capacity, whatever the number of documents.
     """
     tree, runs, plan, bins = _Tightest(capacity), [[] for _ in range(capacity + 1)], [], 0
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
             remaining = tree.find(length)
-            if remaining is None:  # as many new bins as take all of them
-                fresh = -(-left // (capacity // length))
+            if remaining is None:  # as many new bins as are filled, then one for what is left
+                fresh = left // (capacity // length) or 1
                 runs[capacity].append((bins, fresh))
                 bins, remaining = bins + fresh, capacity
             first, count = runs[remaining].pop()
-            used = min(count, left)
+            # The tightest bin stays the tightest until it is filled: whole bins, or one for the last pieces.
+            each = min(remaining // length, left)
+            used = min(count, left // each)
             if used < count:
                 runs[remaining].append((first + used, count - used))
             tree.mark(remaining, bool(runs[remaining]))
-            plan.append((length, rank, used, first, capacity - remaining))
-            rank, left = rank + used, left - used
-            if rest := remaining - length:
-                runs[rest].append((first, used))
-                tree.mark(rest, True)
+            for _ in range(each):
+                plan.append((length, rank, used, first, capacity - remaining))
+                rank, left, remaining = rank + used, left - used, remaining - length
+            if remaining:
+                runs[remaining].append((first, used))
+                tree.mark(remaining, True)
     return plan
 
 

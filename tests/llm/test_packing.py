@@ -48,6 +48,17 @@ def test_plan_is_best_fit_decreasing(lengths):
     assert len(filled) == best_fit(lengths, 40)
 
 
+def test_last_bin_of_a_length_is_filled_first():
+    plan = packing.plan_packing({4: 4, 3: 2, 2: 1}, 12)
+    assert sorted({b for _, _, count, first, _ in plan for b in range(first, first + count)}) == [0, 1]
+    chance = random.Random(4)
+    for _ in range(500):
+        counts = {n: chance.randint(1, 30) for n in chance.sample(range(1, 41), chance.randint(1, 12))}
+        plan = packing.plan_packing(counts, 40)
+        lengths = [n for n, count in counts.items() for _ in range(count)]
+        assert 1 + max(first + count - 1 for _, _, count, first, _ in plan) == best_fit(lengths, 40)
+
+
 def test_tightest_open_bin():
     tree = packing._Tightest(100)
     assert tree.find(1) is None
