@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huescope.llm import chat, exact_dedup, kneser_ney, packing, pii, quality_rules, sentencepieces, simhash_dedup, toxicity, warc
+from huescope.llm import (
+    byte_pairs,
+    chat,
+    dimension_lloyd,
+    exact_dedup,
+    kneser_ney,
+    packing,
+    pii,
+    quality_rules,
+    sentencepieces,
+    simhash_dedup,
+    target_resampling,
+    toxicity,
+    warc,
+)
 from huescope.llm.common import table
 from huescope.sources.shared import fresh_path
 
@@ -74,6 +88,19 @@ def robust_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents", *DOCUMENT))
 
 
+def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return dimension_lloyd.cluster_vectors(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+def bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_pairs.encode_digests(table(spark, folder, "documents", *DOCUMENT), vocabulary("byte_bpe_50k.json"))
+
+
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    target = table(spark, folder, "benchmark", "item_id", "text")
+    return target_resampling.resample(table(spark, folder, "documents", *DOCUMENT), target)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_toxicity": toxicity_severity,
@@ -85,4 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": personal_data,
     "op9_sentencepiece": sentencepiece_codec,
     "op10_quality_rules": robust_quality_rules,
+    "op11_centroid_clustering": centroid_clustering,
+    "op12_bpe": bpe_codec,
+    "op13_importance_resampling": importance_resampling,
 }

@@ -15,11 +15,11 @@ def connection():
     return database(FOLDER)
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert [q for n in range(1, 11) for q in queries() if q.startswith(f"op{n}_")] == [
-        q for n in range(1, 11) for q in QUERIES if q.startswith(f"op{n}_")
+def test_all_operators_and_the_pipeline_are_registered():
+    assert [q for n in range(1, 14) for q in queries() if q.startswith(f"op{n}_")] == [
+        q for n in range(1, 14) for q in QUERIES if q.startswith(f"op{n}_")
     ]
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11)) and "pipeline" in queries()
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14)) and "pipeline" in queries()
     assert set(ORACLES) <= set(oracle_sql())
 
 
