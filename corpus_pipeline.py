@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huescope.llm import exact_dedup, near_copies, packing, pii, toxicity
+from huescope.llm import exact_dedup, packing, pii, simhash_dedup, toxicity
 from huescope.llm.common import stored, table
 from huescope.llm.queries import DOCUMENT, vocabulary
 
@@ -26,10 +26,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates.
 
-    Linked are texts with a five-word shingle similarity of 0.8 or more; the two
-    bits and three words of op6's contract are that query's own.
+    Linked are fingerprints of three-word shingles that differ in at most two bits,
+    as in the operator's own query.
     """
-    return near_copies.keep_first(docs)
+    return simhash_dedup.keep_first(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
