@@ -10,10 +10,13 @@ Three jobs, all DataFrame functions:
    depth at which evenly spread links would fit, and doubles: a bucket with more
    than ``bucket_rows`` links is split by one more bit, others keep their depth.
    It is a table itself (about links / ``bucket_rows`` rows), never collected.
-3. The links are range-partitioned by key, so each owner task holds whole,
-   neighbouring buckets. It numbers the links that collide in one key and
-   writes its range to the index folder. Members find their link by key, digest
-   and length; the digest belongs to one compared text.
+3. The links are range-partitioned by bucket, so each owner task holds whole,
+   neighbouring buckets: a range of keys. It numbers the links that collide in
+   one key and writes its range as a file of the index folder.
+
+Members look their bucket up in the directory by the leading bits of their key,
+and their link by bucket, key, digest and length; the digest belongs to one
+compared text.
 
 A key whose links cannot be told apart by more bits, or that needs more than
 ``MORE_BITS`` doublings, stays as an overflow chain: only the layout changes.
@@ -31,6 +34,8 @@ from huescope.sources.shared import fresh_path
 
 #: Doublings tried beyond the depth at which an even spread would fit.
 MORE_BITS = 6
+#: A directory of at most so many cells (16 bytes each) is broadcast, a larger one joined by shuffle.
+BROADCAST_CELLS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -83,28 +88,34 @@ def directory(links: DataFrame, bucket_rows: int) -> tuple[DataFrame, int]:
     return split.select("cell", "depth", aligned.alias("bucket")), most
 
 
-def build_index(texts: DataFrame, bucket_rows: int = 100_000, bits: int = 64) -> str:
-    """Write the index to the shared folder and return its path.
+def build_index(texts: DataFrame, bucket_rows: int = 100_000, bits: int = 64) -> tuple[str, DataFrame, int]:
+    """Write the index to the shared folder: its path, its directory and the cells' bits.
 
     ``texts`` has doc_id and text (no nulls in text). Columns: bucket, depth, key,
     chain (place among the links of a key, from 1), digest, n_bytes, keep_id,
-    group_size. Files hold ascending, disjoint ranges of keys.
+    group_size. Files hold disjoint ranges of keys, and a bucket lies in one file.
     """
     links = stored(chain_links(texts, bits), "chain-links")
     cells, most = directory(links, bucket_rows)
-    placed = links.withColumn("cell", F.shiftrightunsigned("key", 64 - most)).join(cells, "cell")
-    chain = Window.partitionBy("key").orderBy("digest")
-    ordered = F.shiftrightunsigned("key", 1)  # unsigned order of the leading bits
-    owned = placed.withColumn("spot", ordered).repartitionByRange("spot", "key")
+    cells = stored(cells, "directory")
+    placed = _with_bucket(links, cells, most)
+    # the window's groups lie within a range of buckets, so it needs no further shuffle
+    chain = Window.partitionBy("bucket", "key").orderBy("digest")
+    owned = placed.repartitionByRange("bucket").withColumn("chain", F.row_number().over(chain))
     path = fresh_path(texts.sparkSession, "hash-index")
     (
-        owned.withColumn("chain", F.row_number().over(chain))
-        .sortWithinPartitions("bucket", "spot", "chain")
+        owned.sortWithinPartitions("bucket", F.shiftrightunsigned("key", 1), "key", "chain")
         .select("bucket", "depth", "key", "chain", "digest", "n_bytes", "keep_id", "group_size")
         .write.option("compression", "zstd")
         .parquet(path)
     )
-    return path
+    return path, cells, most
+
+
+def _with_bucket(keyed: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+    """Add bucket and depth from the directory, by the leading bits of ``key``."""
+    small = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    return keyed.withColumn("cell", F.shiftrightunsigned("key", 64 - most)).join(small, "cell").drop("cell")
 
 
 def exact_dedup(
@@ -124,7 +135,8 @@ def exact_dedup(
     """
     texts = pick(docs, id_column, text_column).toDF("doc_id", "text")
     texts = texts.select("doc_id", text_or_empty().alias("text"))
-    index = docs.sparkSession.read.parquet(build_index(texts, bucket_rows, bits))
+    path, cells, most = build_index(texts, bucket_rows, bits)
+    index = docs.sparkSession.read.parquet(path).drop("depth")
     body = normalised(F.col("text")).alias("body")
     members = texts.select("doc_id", body).select(
         "doc_id",
@@ -134,7 +146,7 @@ def exact_dedup(
     )
     repeat = Window.partitionBy("doc_id", "key", "digest").orderBy("n_bytes")
     members = members.withColumn("repeat", F.row_number().over(repeat))
-    found = members.join(index, ["key", "digest", "n_bytes"])
+    found = _with_bucket(members, cells, most).join(index, ["bucket", "key", "digest", "n_bytes"])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("repeat") == 1)
     return found.select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256")

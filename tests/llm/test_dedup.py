@@ -9,7 +9,7 @@ import edge
 import xxhash
 
 import corpus_pipeline
-from huescope.llm import exact_dedup, near_copies, simhash_dedup
+from huescope.llm import exact_dedup, simhash_dedup
 from huescope.llm.components import components
 
 
@@ -53,14 +53,42 @@ def test_exact_of_nothing(no_docs):
 
 def test_index_has_chains_in_key_ranges(spark, docs):
     texts = docs.toDF(*[f"c{i}" for i in range(8)]).selectExpr("c0 AS doc_id", "coalesce(c1, '') AS text")
-    index = spark.read.parquet(exact_dedup.build_index(texts, bucket_rows=3, bits=2))
-    chains = defaultdict(list)
-    for r in index.collect():
-        chains[r["key"]].append((r["chain"], r["bucket"], r["depth"]))
-    assert max(map(len, chains.values())) > 1
-    for links in chains.values():
-        assert sorted(c for c, _, _ in links) == list(range(1, len(links) + 1))
-        assert len({b for _, b, _ in links}) == 1
+    merges = "spark.sql.adaptive.coalescePartitions.enabled"
+    for bits, longest in ((2, 1), (64, 0)):
+        spark.conf.set(merges, "false")  # ranges this small would be put together
+        path, _, _ = exact_dedup.build_index(texts, bucket_rows=3, bits=bits)
+        spark.conf.unset(merges)
+        chains, files, homes = defaultdict(list), defaultdict(list), defaultdict(set)
+        index = spark.read.parquet(path)
+        for r in index.select("*", "_metadata.file_path").collect():
+            chains[r["key"]].append((r["chain"], r["bucket"], r["depth"]))
+            files[r["file_path"]].append(r["key"] % (1 << 64))
+            homes[r["bucket"]].add(r["file_path"])
+        assert max(map(len, chains.values())) > longest
+        for links in chains.values():
+            assert sorted(c for c, _, _ in links) == list(range(1, len(links) + 1))
+            assert len({b for _, b, _ in links}) == 1
+        ranges = sorted((min(k), max(k)) for k in files.values())
+        assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+        assert all(len(found) == 1 for found in homes.values())
+        if bits == 64:
+            assert max(r["count"] for r in index.groupBy("bucket").count().collect()) <= 3
+
+
+def test_chains_need_no_second_shuffle(spark, docs):
+    texts = docs.toDF(*[f"c{i}" for i in range(8)]).selectExpr("c0 AS doc_id", "coalesce(c1, '') AS text")
+    links = exact_dedup.stored(exact_dedup.chain_links(texts), "test-links")
+    cells, most = exact_dedup.directory(links, 3)
+    placed = exact_dedup._with_bucket(links, exact_dedup.stored(cells, "test-cells"), most)
+    chain = exact_dedup.Window.partitionBy("bucket", "key").orderBy("digest")
+    owned = placed.repartitionByRange("bucket").withColumn("chain", exact_dedup.F.row_number().over(chain))
+    plan = owned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+
+
+def test_directory_too_large_to_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_CELLS", 0)
+    assert actual(exact_dedup.exact_dedup(docs, bucket_rows=3)) == expected_exact(edge.rows())
 
 
 def test_directory_splits_only_full_buckets(spark):
@@ -161,73 +189,24 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-def shingle_set(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def similar_components(texts):
-    """Smallest id reached over pairs with five-word Jaccard >= 0.8, every pair compared."""
-    sets, root = {i: shingle_set(t) for i, t in texts.items()}, {i: i for i in texts}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a in sets:
-        for b in sets:
-            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                low, high = sorted((top(a), top(b)))
-                root[high] = low
-    return {i: top(i) for i in texts}
-
-
-def near_copy_texts():
+def test_pipeline_stage_links_as_the_operator_does(spark, docs, no_docs):
+    """One of each group linked by two or fewer bits of three-word fingerprints stays, and nothing else goes."""
     chance = random.Random(11)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    line = " ".join(chance.choices(vocabulary, k=30))
-    texts = []
-    for n in range(40):  # near copies around the limit, in chains
-        words = chance.choices(vocabulary, k=chance.choice([6, 12, 60, 200]))
-        for _ in range(4):
-            texts.append(" ".join(words))
-            for _ in range(chance.randint(0, len(words) // 40 + 1)):
-                words[chance.randrange(len(words))] = chance.choice(vocabulary)
-    base = chance.choices(vocabulary, k=150)
-    for _ in range(60):  # one large group
+    vocabulary = [f"w{i}" for i in range(500)]
+    base, texts = chance.choices(vocabulary, k=300), ["", " ", "one", "ONE", "a b c d e", "a b c d e f"]
+    for _ in range(60):
         words = list(base)
-        for _ in range(chance.randint(1, 4)):
+        for _ in range(chance.randint(0, 2)):
             words[chance.randrange(len(words))] = chance.choice(vocabulary)
         texts.append(" ".join(words))
-    texts += [line + " " + " ".join(chance.choices(vocabulary, k=chance.randint(0, 9))) for _ in range(60)]  # a common line
-    texts += ["", " ", "one", "ONE", "a b c d e", "a b c d e f"]
-    chance.shuffle(texts)
-    return dict(enumerate(texts))
-
-
-def test_shingle_stage_links_every_similar_pair(spark):
-    texts = near_copy_texts()
-    want = similar_components(texts)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    kept = {r[0] for r in corpus_pipeline.simhash_stage(spark, docs, "").select("doc_id").collect()}
-    assert kept == {i for i, least in want.items() if i == least}
-    assert kept != {r[0] for r in simhash_dedup.keep_first(docs).select("doc_id").collect()}
-
-
-def test_shingle_stage_with_every_key_dense(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "DENSE", 1)
-    monkeypatch.setattr(near_copies, "HUBS", 1)
-    texts = near_copy_texts()
-    want = similar_components(texts)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    kept = {r[0] for r in near_copies.keep_first(docs).select("doc_id").collect()}
-    assert kept == {i for i, least in want.items() if i == least}
-
-
-def test_shingle_stage_bears_edge_rows(docs, no_docs):
-    kept = near_copies.keep_first(docs)
-    known = {r[0]: r[1] for r in edge.rows() if r[0] not in (None, 9)}
-    want = similar_components(known)
-    assert {r[0] for r in kept.collect() if r[0] not in (None, 9)} == {i for i, least in want.items() if i == least}
-    assert kept.columns == docs.columns and near_copies.keep_first(no_docs).count() == 0
+    texts += [" ".join(chance.choices(vocabulary, k=chance.choice([3, 8, 60]))) for _ in range(80)]
+    prints = [brute_print(t) for t in texts]
+    root, least = brute_components(prints), {}
+    for i, p in enumerate(prints):
+        least.setdefault(root[p], i)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = stage(spark, given, "")
+    assert kept.columns == given.columns and {r[0] for r in kept.collect()} == set(least.values())
+    assert stage(spark, no_docs, "").count() == 0
