@@ -185,6 +185,8 @@ CHECKS: dict[str, str] = {
         FROM (SELECT page_id, {inputs.record('strlen')} AS record FROM pages)""",
     "fetch_pages": f"""SELECT domain, status, size, has_error, html FROM ({o.FETCH_LOG})
         JOIN (SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 4 AND {_READ} THEN html END AS html FROM pages) USING (domain)""",
+    "resume_fetch": f"""SELECT domain, status, size, has_error, html FROM ({o.FETCH_LOG})
+        JOIN (SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 4 AND {_READ} THEN html END AS html FROM pages) USING (domain)""",
     "decode_records": f"""SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 4 AND {_READ} THEN html END AS html,
         CASE WHEN {inputs.UNREADABLE_RECORD} THEN 'error' WHEN page_id % 6 < 4 THEN 'ok' ELSE 'failed' END AS status FROM pages""",
     "record_charset": f"""SELECT {_SITE} AS domain, CASE WHEN {inputs.UNREADABLE_RECORD} OR page_id % 6 = 5 THEN NULL
