@@ -22,6 +22,8 @@ from huescope.sources.pages import safe_name
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 REGION_BYTES = 64 * 1024 * 1024
+#: Bytes of an archive that one row holds when archives are tables.
+BLOCK_BYTES = 4 * 1024 * 1024
 
 DECODED = {
     "charset": ("STRING", pa.string()),
@@ -39,17 +41,68 @@ BATCH_BYTES = 64 * 1024 * 1024
 _CHUNK_SIZE = re.compile(rb"\s*([0-9a-f]+)[ \t]*(?:;[^\n]*)?\r\n", re.IGNORECASE)
 
 
-def slice_records(index: DataFrame, archive: DataFrame) -> DataFrame:
+def archive_blocks(archive: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(path, block, bytes): archives of a table (path, content) cut into blocks of fixed size."""
+    last = F.floor((F.greatest(F.octet_length("content"), F.lit(1)) - 1) / block_bytes)
+    numbered = archive.select("path", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    cut = F.expr(f"substring(content, int(block * {block_bytes}) + 1, {block_bytes})")
+    return numbered.select("path", "block", cut.alias("bytes"))
+
+
+def _block_pieces(index: DataFrame, block_bytes: int) -> DataFrame:
+    """Index rows once for each block that they reach into; a range that is none has a null block."""
+    size = F.lit(block_bytes)
+    begin, end = F.col("offset"), F.col("offset") + F.greatest(F.col("length"), F.lit(1)) - 1
+    is_range = (F.col("offset") >= 0) & (F.col("length") >= 0)
+    first, last = F.floor(begin / size), F.floor(end / size)
+    reached = F.when(is_range, F.sequence(first, last)).otherwise(F.array(F.lit(None).cast("bigint")))
+    return index.withColumn("__pieces", F.size(reached)).withColumn("__block", F.explode(reached))
+
+
+def _joined_to_blocks(pieces: DataFrame, blocks: DataFrame, block_bytes: int) -> DataFrame:
+    """Add ``__bytes``: the part of each block that belongs to the row's range."""
+    same = (F.col("filename") == F.col("path")) & (F.col("__block") == F.col("block"))
+    found = pieces.join(blocks, same, "left")
+    start = f"greatest(offset - __block * {block_bytes}, 0)"
+    stop = f"least(offset + length - __block * {block_bytes}, {block_bytes})"
+    part = F.expr(f"substring(bytes, int({start}) + 1, int({stop} - {start}))")
+    begun = F.expr(f"{start} < greatest(octet_length(bytes), 1)")
+    return found.select(*pieces.columns, F.when(begun, part).alias("__bytes"))
+
+
+def slice_records(index: DataFrame, archive: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add ``content``, the record's bytes, from a table (path, content) of archives.
 
-    For small archives kept as table rows, since a row's whole content travels to
-    each of its records; archive files are read by ``read_records``.
+    Archives are cut into blocks and records join the blocks that they reach into,
+    on (file, block): a key has as many records as fit into a block, however many
+    its archive has, and no row carries more than a block. Records of one block
+    are done then; the parts of longer ones meet by record.
+
+    ``content`` is NULL where the archive is not there, the range begins behind its
+    end, or is no range; a range that ends behind it gives what there is. Repeated
+    index rows stay repeated. Archive files are read by ``read_records``.
     """
-    wanted = index.join(archive.withColumnRenamed("content", "__archive"), F.col("filename") == F.col("path"))
-    return wanted.select(
-        *index.columns,
-        F.expr("substring(__archive, int(offset) + 1, int(length))").alias("content"),
+    blocks = archive_blocks(archive, block_bytes)
+    pieces = _block_pieces(index, block_bytes)
+    single = _joined_to_blocks(pieces.where("__pieces = 1"), blocks, block_bytes)
+    done = single.select(*index.columns, F.col("__bytes").alias("content"))
+    # equal index rows are counted, so that their parts aren't mixed up
+    several = pieces.where("__pieces > 1").groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    parts = F.array_sort(F.collect_list(F.struct("__block", "__bytes")))
+    grouped = (
+        _joined_to_blocks(several, blocks, block_bytes)
+        .groupBy(*index.columns, "__copies")
+        .agg(parts.alias("__parts"))
+    )
+    # behind the archive's end there are no blocks; collected parts without bytes add nothing
+    empty = F.lit(b"")
+    whole = F.aggregate(
+        "__parts", empty, lambda done, p: F.concat(done, F.coalesce(p.getField("__bytes"), empty))
     )
+    starts = F.get("__parts", F.lit(0)).getField("__bytes").isNotNull()
+    repeated = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))
+    put = grouped.select(*index.columns, F.when(starts, whole).alias("content"), repeated.alias("__copy"))
+    return done.unionByName(put.drop("__copy"))
 
 
 def fetch_tasks(index: DataFrame) -> int:

@@ -87,10 +87,50 @@ def test_range_reads_equal_slices(spark, archives):
     table = spark.read.format("binaryFile").load(str(root)).select(
         F.element_at(F.split("path", "/"), -1).alias("path"), "content"
     )
-    sliced = {r["domain"]: bytes(r["content"]) for r in rec.slice_records(rows, table).collect()}
+    sliced = {r["domain"]: r["content"] for r in rec.slice_records(rows, table).collect()}
     read = {r["domain"]: r["content"] for r in rec.read_records(rows, str(root)).collect()}
-    assert read.pop("gone") is None
-    assert {d: bytes(c) for d, c in read.items()} == sliced and len(sliced) == 80
+    assert read.pop("gone") is None and sliced.pop("gone") is None
+    assert read == sliced and len(sliced) == 80
+
+
+def brute_slice(content, offset, length):
+    if content is None or offset is None or length is None or offset < 0 or length < 0 or offset >= max(1, len(content)):
+        return None
+    return content[offset : offset + length]
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 22])
+def test_block_join_equals_slices(spark, block):
+    contents = {"a": bytes(range(256)) * 3, "b": b"short", "c": b"", "d": b"x" * 64, "e": b"y" * 65}
+    table = spark.createDataFrame([(p, bytearray(c)) for p, c in contents.items()], "path string, content binary")
+    rows = [
+        (f"{name}{o}+{n}", name, o, n)
+        for name in [*contents, "gone"]
+        for o in (0, 1, 6, 7, 63, 64, 200, 767, 768, 5000)
+        for n in (0, 1, 7, 8, 64, 130, 768, 2000)
+    ]
+    rows += rows[:200] + [("n", None, 0, 1), ("o", "a", None, 1), ("l", "a", 0, None), ("-o", "a", -1, 5), ("-l", "a", 3, -1)]
+    found = rec.slice_records(spark.createDataFrame(rows, SCHEMA).repartition(3), table, block)
+    assert found.columns == ["domain", "filename", "offset", "length", "content"]
+    got = sorted(((*r[:4], None if r[4] is None else bytes(r[4])) for r in found.collect()), key=str)
+    want = sorted(((*r, brute_slice(contents.get(r[1]), r[2], r[3])) for r in rows), key=str)
+    assert got == want
+
+
+def test_a_large_archive_is_no_hot_key(spark):
+    """One archive of 10,000 records: no key of the join holds more rows than fit into a block."""
+    index = spark.range(10_000).select(
+        F.concat(F.lit("d"), "id").alias("domain"), F.lit("one").alias("filename"),
+        (F.col("id") * 100).alias("offset"), F.lit(100).cast("bigint").alias("length"),
+    )
+    table = spark.createDataFrame([("one", bytearray(b"0123456789" * 100_000))], "path string, content binary")
+    pieces = rec._block_pieces(index, 4096)
+    most = pieces.groupBy("filename", "__block").count().agg(F.max("count")).first()[0]
+    assert most <= 4096 // 100 + 2
+    blocks = rec.archive_blocks(table, 4096)
+    assert blocks.agg(F.max(F.octet_length("bytes")), F.count("*")).first() == (4096, 245)
+    sliced = rec.slice_records(index, table, 4096)
+    assert sliced.where("content = cast(repeat('0123456789', 10) as binary)").count() == 10_000
 
 
 def test_fetch_in_one_pass(spark, archives):
