@@ -18,6 +18,7 @@ from huescope.operators import declarations as dec
 from huescope.operators import pairings as pair
 from huescope.operators import records as rec
 from huescope.operators import report as rep
+from huescope.plans import fetch
 from huescope.plans.audit import analyse_pages, page_pairings
 from huescope.plans.lookup import import_captures, lookup_homepages
 from huescope.sources import index as idx
@@ -103,8 +104,8 @@ def _seq(df: DataFrame) -> DataFrame:
     return df.select(*rest, "seq.kind", "seq.block", "seq.rule")
 
 
-def _coded(spark, folder) -> DataFrame:
-    return pair.with_codes(dec.union_declarations(_styled(spark, folder), KEY))
+def _coded(spark, folder, every_page: bool = False) -> DataFrame:
+    return pair.with_codes(dec.union_declarations(_styled(spark, folder), KEY, every_page=every_page))
 
 
 def _pairs(spark, folder) -> DataFrame:
@@ -112,7 +113,7 @@ def _pairs(spark, folder) -> DataFrame:
 
 
 def _distinct(spark, folder) -> DataFrame:
-    return pair.dedup_pairings(pair.classify_pairs(_pairs(spark, folder)), KEY)
+    return pair.classify_pairs(pair.dedup_pairings(_pairs(spark, folder), KEY))
 
 
 def _results(spark, folder) -> DataFrame:
@@ -474,6 +475,17 @@ def fetch_pages(spark, folder):
     return _with_error_flag(_decoded(spark, folder)).select("domain", "status", "size", "has_error", "html")
 
 
+@query
+def resume_fetch(spark, folder):
+    """A store that knows some of the pages, brought up to date with the whole index."""
+    index, root = _archive_files(spark, folder)
+    store = fresh_path(spark, "fetch-store")
+    fetch.resume_fetch(index.where("length % 3 <> 0"), root, store)
+    fetched = fetch.resume_fetch(index, root, store)
+    latest = _with_error_flag(fetch.latest_outcomes(fetched).select("domain", "status", "size", "error"))
+    return latest.join(fetch.stored_pages(fetched), "domain", "left").select("domain", "status", "size", "has_error", "html")
+
+
 @query
 def decode_records(spark, folder):
     return _decoded(spark, folder).select("domain", "html", "status")
@@ -689,13 +701,12 @@ def page_contrast_summary(spark, folder):
 
 @query
 def page_summary_empty(spark, folder):
-    pages = _styled(spark, folder)
-    return pair.page_summary_empty(pages, pair.page_contrast_summary(_distinct(spark, folder), KEY), KEY)
+    return pair.page_summary_empty(_coded(spark, folder, every_page=True), KEY).drop("status")
 
 
 @query
 def page_error_status(spark, folder):
-    return pair.page_status(_styled(spark, folder), _coded(spark, folder), KEY)
+    return pair.page_status(_coded(spark, folder, every_page=True), KEY)
 
 
 @query

@@ -7,7 +7,7 @@ pairings is kept later.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huescope.functions import css, html
@@ -62,11 +62,13 @@ def parse_declarations(rules: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def declares_colour() -> Column:
+    return F.col("color").isNotNull() | F.col("background").isNotNull() | F.col("unreadable")
+
+
 def filter_declarations(declarations: DataFrame) -> DataFrame:
     """Keep rules that set a colour, or that make their page fail."""
-    return declarations.where(
-        F.col("color").isNotNull() | F.col("background").isNotNull() | F.col("unreadable")
-    )
+    return declarations.where(declares_colour())
 
 
 def inline_declarations(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:
@@ -83,45 +85,42 @@ def inline_declarations(pages: DataFrame, key: str = "domain", text: str = "html
     )
 
 
-def union_declarations(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:
+def union_declarations(
+    pages: DataFrame, key: str = "domain", text: str = "html", every_page: bool = False
+) -> DataFrame:
     """Declarations of style elements and of style attributes in one pass.
 
-    ``seq`` puts the rules of style elements first, whatever their place.
+    ``seq`` puts the rules of style elements first, whatever their place. With
+    ``every_page`` each page row also gives one row without colours, of kind -1,
+    so that statistics by page need no second look at the pages.
     """
-    token = F.col("token")
+    tokens = html.style_tokens(newlines(F.col(text)))
+    if every_page:  # a token that is no text stands for the page, before all others
+        tokens = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(tokens, F.array().cast("array<string>")))
+    found = pages.select(key, F.posexplode(tokens).alias("block", "token"))
+    token, stands = F.col("token"), F.col("token").isNull()
+
+    def entry(kind: int, rule: Column, selector: Column, body: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), rule.alias("rule"), selector.alias("selector"), body.alias("body")
+        )
+
     sheet = F.transform(
         css.rules(html.style_text(token)),
-        lambda r, at: F.struct(
-            F.lit(0).alias("kind"),
-            at.alias("rule"),
-            r.getField("selector").alias("selector"),
-            r.getField("body").alias("body"),
-        ),
-    )
-    attribute = F.array(
-        F.struct(
-            F.lit(1).alias("kind"),
-            F.lit(0).alias("rule"),
-            F.lit(css.INLINE_SELECTOR).alias("selector"),
-            html.style_attribute(token).alias("body"),
-        )
+        lambda r, at: entry(0, at, r.getField("selector"), r.getField("body")),
     )
+    attribute = F.array(entry(1, F.lit(0), F.lit(css.INLINE_SELECTOR), html.style_attribute(token)))
+    whole_page = F.array(entry(-1, F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string")))
     is_sheet, is_styled = html.may_be_style_element(token), html.may_have_style_attribute(token)
-    found = (
-        _tokens(pages, key, text)
-        .where(is_sheet | is_styled)
-        .select(
-            key,
-            "block",
-            F.inline(
-                F.when(is_sheet & is_styled, F.concat(sheet, attribute))
-                .when(is_sheet, sheet)
-                .otherwise(attribute)
-            ),
-        )
-    )
-    coloured = found.where(css.has_colour_property(F.col("body")))
-    return filter_declarations(parse_declarations(coloured)).select(
+    listed = F.when(is_sheet & is_styled, F.concat(sheet, attribute)).when(is_sheet, sheet)
+    if every_page:
+        listed = listed.when(stands, whole_page)
+    rows = found.where(is_sheet | is_styled | stands).select(key, "block", F.inline(listed.otherwise(attribute)))
+    is_page = F.col("kind") < 0
+    coloured = rows.where(css.has_colour_property(F.col("body")) | is_page)
+    parsed = parse_declarations(coloured)
+    kept = parsed.where(declares_colour() | is_page) if every_page else filter_declarations(parsed)
+    return kept.select(
         key,
         F.struct("kind", "block", "rule").alias("seq"),
         "selector",

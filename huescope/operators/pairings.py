@@ -1,9 +1,16 @@
 """Declarations to contrast pairings and page statistics, on rows.
 
-All of it pre-aggregates before it shuffles: duplicates of a pairing are cut to
-one per task by the window's group limit, page statistics keep counters and a
-bounded histogram, and a page's worst list keeps five rows per task. A page
-that owns a third of all rows is therefore no hot spot.
+One unreadable colour fails its whole page, so the declarations of a page meet in
+one exchange by page, and everything after that shares it: the error test, the
+first of equal pairs, the statistics and the worst list are windows and
+aggregates over the page or over keys that start with it. Pages are tokenised
+once. The exchange brings a page's rows to one task, where they came from: all of
+them were made from one page row by one task, and sorting there spills.
+
+Rows that are pairs already pre-aggregate before they are shuffled: duplicates are
+cut to one per task by the window's group limit, page statistics keep counters
+and a bounded histogram, and a worst list keeps five rows per task. There a key
+that owns a third of all rows is no hot spot.
 """
 
 from __future__ import annotations
@@ -43,9 +50,13 @@ def is_unreadable() -> Column:
     )
 
 
-def failed_pages(coded: DataFrame, key: str = "domain") -> DataFrame:
-    """The pages with an unreadable colour anywhere, each once."""
-    return coded.where(is_unreadable()).select(key).distinct()
+def flag_pages(coded: DataFrame, key: str = "domain") -> DataFrame:
+    """Add ``page_failed``: whether any declaration of the page is unreadable. One exchange by page."""
+    return coded.withColumn("page_failed", F.max(is_unreadable()).over(Window.partitionBy(key)))
+
+
+def _is_pair() -> Column:
+    return F.col("fg").isNotNull() | F.col("bg").isNotNull()
 
 
 def build_pairings(coded: DataFrame, key: str = "domain") -> DataFrame:
@@ -54,9 +65,8 @@ def build_pairings(coded: DataFrame, key: str = "domain") -> DataFrame:
     A side counts as missing when its value is no colour, e.g. ``transparent``.
     A page with an unreadable colour has no pairs at all.
     """
-    coded = coded.join(failed_pages(coded, key), key, "left_anti")
     kept = [c for c in coded.columns if c not in ("color", "background", "fg", "bg", "unreadable")]
-    readable = coded.where(F.col("fg").isNotNull() | F.col("bg").isNotNull())
+    readable = flag_pages(coded, key).where(~F.col("page_failed") & _is_pair())
     return readable.select(
         *kept,
         F.when(F.col("fg").isNotNull(), F.col("color"))
@@ -90,20 +100,24 @@ def dedup_pairings(pairs: DataFrame, key: str = "domain") -> DataFrame:
     return pairs.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
-def page_contrast_summary(pairings: DataFrame, key: str = "domain") -> DataFrame:
-    """Counts, pass rates and ratio statistics per page over deduplicated pairings."""
-    counted = pairings.groupBy(key).agg(
-        F.count(F.lit(1)).alias("total_pairings"),
+def _page_counts(is_pair: Column) -> list[Column]:
+    """Aggregates over a page's deduplicated pairings; rows that are no pair have null ratios."""
+    return [
+        F.count_if(is_pair).alias("total_pairings"),
         F.count_if("pass_normal").alias("pass_normal"),
         F.count_if("pass_large").alias("pass_large"),
         F.min("ratio").alias("worst_ratio"),
         F.max("ratio").alias("best_ratio"),
         upper_median("ratio").alias("median_ratio"),
         exact_mean(F.col("ratio"), 2).alias("mean_ratio"),
-    )
+    ]
+
+
+def _page_statistics(counted: DataFrame, key: str, *more: str) -> DataFrame:
     total = F.col("total_pairings")
     return counted.select(
         key,
+        *more,
         total,
         "pass_normal",
         (total - F.col("pass_normal")).alias("fail_normal"),
@@ -118,15 +132,30 @@ def page_contrast_summary(pairings: DataFrame, key: str = "domain") -> DataFrame
     )
 
 
-COUNT_COLUMNS = ("total_pairings", "pass_normal", "fail_normal", "pass_large", "fail_large")
+def page_contrast_summary(pairings: DataFrame, key: str = "domain") -> DataFrame:
+    """Counts, pass rates and ratio statistics per page over deduplicated pairings."""
+    return _page_statistics(pairings.groupBy(key).agg(*_page_counts(F.lit(True))), key)
 
 
-def page_summary_empty(pages: DataFrame, summary: DataFrame, key: str = "domain") -> DataFrame:
-    """Give pages without pairings a row: zero counts, NULL rates and ratios."""
-    rest = [c for c in summary.columns if c != key and c not in COUNT_COLUMNS]
-    return pages.select(key).join(summary, key, "left").select(
-        key, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in COUNT_COLUMNS], *rest
+def page_summary_empty(coded: DataFrame, key: str = "domain") -> DataFrame:
+    """Statistics and ``status`` of every page: zero counts, NULL rates and ratios without pairings.
+
+    ``coded`` has a row for every page, as ``union_declarations`` gives with
+    ``every_page``; what is no pair folds to one row of its page.
+    """
+    flagged = flag_pages(coded, key)
+    is_pair = ~F.col("page_failed") & _is_pair()
+    sides = flagged.select(
+        key,
+        "page_failed",
+        "seq",
+        F.when(is_pair, F.coalesce("fg", F.lit(BLACK))).alias("fg"),
+        F.when(is_pair, F.coalesce("bg", F.lit(WHITE))).alias("bg"),
     )
+    scored = classify_pairs(dedup_pairings(sides, key))
+    counted = scored.groupBy(key).agg(*_page_counts(F.col("fg").isNotNull()), F.max("page_failed").alias("page_failed"))
+    named = counted.withColumn("status", F.when(F.col("page_failed"), "error").otherwise("analysed"))
+    return _page_statistics(named, key, "status")
 
 
 def filter_failing_pairings(pairings: DataFrame) -> DataFrame:
@@ -140,8 +169,10 @@ def worst_pairings_topk(pairings: DataFrame, key: str = "domain", k: int = WORST
     return ranked.where(F.col("place") <= k)
 
 
-def page_status(pages: DataFrame, coded: DataFrame, key: str = "domain") -> DataFrame:
-    """'error' for pages with an unreadable colour anywhere, else 'analysed'; every page has a row."""
-    failed = failed_pages(coded, key).withColumn("__failed", F.lit(True))
-    found = pages.select(key).join(failed, key, "left")
-    return found.select(key, F.when(F.col("__failed"), "error").otherwise("analysed").alias("status"))
+def page_status(coded: DataFrame, key: str = "domain") -> DataFrame:
+    """'error' for pages with an unreadable colour anywhere, else 'analysed'.
+
+    ``coded`` has a row for every page, as for ``page_summary_empty``.
+    """
+    failed = coded.groupBy(key).agg(F.max(is_unreadable()).alias("page_failed"))
+    return failed.select(key, F.when(F.col("page_failed"), "error").otherwise("analysed").alias("status"))

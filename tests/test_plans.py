@@ -59,6 +59,26 @@ def test_page_statistics_are_partial(rows):
     assert text.count("Exchange") == 1 and "partial_count" in text and "partial_percentile" in text
 
 
+@pytest.mark.parametrize(
+    ("name", "exchanges"),
+    [
+        ("build_pairings", 1),
+        ("dedup_pairings", 1),
+        ("filter_failing_pairings", 1),
+        ("worst_pairings_topk", 1),
+        ("page_contrast_summary", 1),
+        ("page_summary_empty", 1),
+        ("page_error_status", 1),
+    ],
+)
+def test_row_path_reads_and_tokenises_once(spark, name, exchanges):
+    from harness.queries import QUERIES
+
+    text = plan(QUERIES[name](spark, FOLDER))
+    assert text.count("FileScan") == 1 and text.count("(?is)(?=<)") == 1
+    assert text.count("Exchange") == exchanges and "Exchange hashpartitioning(page_id" in text
+
+
 def test_report_is_sorted_once(spark, tmp_path, monkeypatch):
     from huescope.operators import report
     from huescope.sources import results
