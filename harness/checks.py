@@ -193,6 +193,17 @@ CHECKS: dict[str, str] = {
         WHEN page_id % 6 = 3 THEN 'no-such-set' ELSE 'utf-8' END AS charset FROM pages""",
     "detect_chunked": f"""SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 5 AND {_READ} THEN page_id % 6 IN (2, 4) END AS chunked
         FROM pages""",
+    "detect_chunked_anchored": f"""SELECT {_SITE} AS domain, CASE WHEN page_id % 6 < 5 AND {_READ} THEN page_id % 6 = 2 END AS chunked
+        FROM pages""",
+    "response_headers": f"""SELECT domain, name, texts FROM (
+        SELECT {_SITE} AS domain, unnest(CASE page_id % 6
+            WHEN 0 THEN ['http/1.1 200 ok', 'content-type'] WHEN 1 THEN ['http/1.1 200 ok', 'content-type']
+            WHEN 2 THEN ['http/1.1 200 ok', 'content-type', 'transfer-encoding'] WHEN 3 THEN ['http/1.1 200 ok', 'content-type']
+            ELSE ['http/1.1 200 ok', 'x-transfer-encoding'] END) AS name, unnest(CASE page_id % 6
+            WHEN 0 THEN ['', 'text/html'] WHEN 1 THEN ['', 'text/html; charset=utf-8;']
+            WHEN 2 THEN ['', 'text/html; charset=utf-8', 'chunked'] WHEN 3 THEN ['', 'text/html; charset=no-such-set']
+            ELSE ['', 'chunked'] END) AS texts
+        FROM pages WHERE page_id % 6 < 5 AND {_READ})""",
     "dechunk_bodies": f"{_BODY_DIGEST} UNION ALL SELECT {_SITE}, NULL FROM pages WHERE page_id % 6 = 4 AND {_READ}",
     "record_status": o.FETCH_LOG,
     "fetch_counts": f"""SELECT count(*) FILTER (status = 'ok') AS fetched, count(*) FILTER (status <> 'ok') AS failed

@@ -491,14 +491,32 @@ def decode_records(spark, folder):
     return _decoded(spark, folder).select("domain", "html", "status")
 
 
+def _headers(spark, folder, anchored: bool = False) -> DataFrame:
+    """Header columns of every readable record; the others have nulls."""
+    index, root = _archive_files(spark, folder)
+    return rec.response_headers(rec.unpack_records(rec.read_records(index, root)), anchored)
+
+
 @query
 def record_charset(spark, folder):
-    return _decoded(spark, folder).select("domain", "charset")
+    return _headers(spark, folder).select("domain", "charset")
 
 
 @query
 def detect_chunked(spark, folder):
-    return _decoded(spark, folder).select("domain", "chunked")
+    return _headers(spark, folder).select("domain", "chunked")
+
+
+@query
+def detect_chunked_anchored(spark, folder):
+    return _headers(spark, folder, anchored=True).select("domain", "chunked")
+
+
+@query
+def response_headers(spark, folder):
+    headers = _headers(spark, folder).select("domain", F.explode("headers").alias("name", "texts"))
+    texts = F.trim(F.translate(F.array_join("texts", "|"), "\r", ""))
+    return headers.select("domain", F.translate("name", "\r", "").alias("name"), texts.alias("texts"))
 
 
 @query

@@ -7,7 +7,9 @@ Spark spreads them over archive regions, not over whole archives.
 
 from __future__ import annotations
 
+import codecs
 import gzip
+import io
 import re
 import sys
 
@@ -16,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from huescope.functions import http
+from huescope.functions.frames import settled
 from huescope.sources.pages import safe_name
 
 # Executors may not have this package on their path.
@@ -37,6 +41,10 @@ DECODED = {
 #: Bytes of record and text that one output batch may hold before it is handed on.
 BATCH_BYTES = 64 * 1024 * 1024
 
+#: Bytes that one record may unpack to; a larger one is an ``error`` row.
+UNPACKED_LIMIT = 256 * 1024 * 1024
+_SLICE = 1024 * 1024
+
 # A chunk's size line, with the line end of the chunk before it and an extension.
 _CHUNK_SIZE = re.compile(rb"\s*([0-9a-f]+)[ \t]*(?:;[^\n]*)?\r\n", re.IGNORECASE)
 
@@ -226,32 +234,54 @@ def _chunks(body: bytes):
         size_line = _CHUNK_SIZE.match(body, size_line.end() + size)
 
 
-def _unpacked(raw: bytes) -> bytes:
-    """Gzip members unpacked; bytes that are no gzip as they are. A cut-off member raises EOFError."""
+def _unpacked(raw: bytes, limit: int) -> bytes:
+    """Gzip members unpacked slice by slice; bytes that are no gzip as they are.
+
+    A cut-off member raises EOFError, more than ``limit`` bytes ValueError as soon
+    as they are seen, so a small record cannot fill the memory.
+    """
+    done = bytearray()
     try:
-        return gzip.decompress(raw)
+        with gzip.GzipFile(fileobj=io.BytesIO(raw)) as members:
+            while part := members.read(_SLICE):
+                done += part
+                if len(done) > limit:
+                    raise ValueError(f"record unpacks to more than {limit} bytes")
     except OSError:
         return raw
+    return bytes(done)
 
 
 def _text(body: bytes, charset: str) -> str:
+    """The body in its character set; in UTF-8 where that is unknown or no text encoding."""
     try:
-        return body.decode(charset, errors="replace")
-    except (LookupError, UnicodeDecodeError):
-        return body.decode("utf-8", errors="replace")
-
-
-def _decode_record(raw: bytes | None) -> dict:
+        known = codecs.lookup(charset)
+        usable = getattr(known, "_is_text_encoding", True)
+    except (LookupError, ValueError):
+        usable = False
+    if usable:
+        try:
+            return known.decode(body, "replace")[0]
+        except UnicodeDecodeError:  # some codecs can't replace
+            pass
+    return body.decode("utf-8", "replace")
+
+
+def _decode_record(raw: bytes | None, limit: int, anchored: bool) -> dict:
     """Charset, chunking, text and outcome of one record."""
     outcome = dict.fromkeys(DECODED) | {"status": "failed"}
     if raw is None:
         return outcome
-    message = _message(_unpacked(raw))
+    message = _message(_unpacked(raw, limit))
     if message is None:
         return outcome
     fields, body = message
     outcome["charset"] = _charset(fields)
-    outcome["chunked"] = "transfer-encoding: chunked" in fields["*"][0]
+    if anchored:
+        codings = (v.rpartition(",")[2].strip() for v in fields.get("transfer-encoding", []))
+        outcome["chunked"] = "chunked" in codings
+    else:
+        outcome["chunked"] = "transfer-encoding: chunked" in fields["*"][0]
     html = _text(b"".join(_chunks(body)) if outcome["chunked"] else body, outcome["charset"])
     if html:
         html.encode("utf-8")
@@ -259,10 +289,10 @@ def _decode_record(raw: bytes | None) -> dict:
     return outcome
 
 
-def _guarded(record) -> dict:
+def _guarded(record, limit: int = UNPACKED_LIMIT, anchored: bool = False) -> dict:
     """The decoded record; any failure to read or decode is its status."""
     try:
-        return _decode_record(record())
+        return _decode_record(record(), limit, anchored)
     except Exception as problem:  # noqa: BLE001
         return dict.fromkeys(DECODED) | {"status": "error", "error": str(problem) or type(problem).__name__}
 
@@ -270,11 +300,11 @@ def _guarded(record) -> dict:
 _DECODED_TYPES = {n: kind for n, (_, kind) in DECODED.items()}
 
 
-def _fetch_batches(batches, root: str, kept: list[str]):
+def _fetch_batches(batches, root: str, kept: list[str], limit: int, anchored: bool):
     archives = _Archives(root)
 
     def outcome(row: dict) -> dict:
-        return _guarded(lambda: archives.read(row["filename"], row["offset"], row["length"]))
+        return _guarded(lambda: archives.read(row["filename"], row["offset"], row["length"]), limit, anchored)
 
     try:
         yield from _outcomes(batches, kept, _DECODED_TYPES, outcome)
@@ -287,28 +317,73 @@ def _decoded_schema(df: DataFrame, kept: list[str]) -> str:
     return ", ".join([*fields, *(f"{n} {sql}" for n, (sql, _) in DECODED.items())])
 
 
-def decode_records(records: DataFrame) -> DataFrame:
+def decode_records(records: DataFrame, limit: int = UNPACKED_LIMIT, anchored: bool = False) -> DataFrame:
     """Replace ``content`` by charset, chunked, html, status, size and error.
 
     A record never fails its task: ``failed`` stands for no text, ``error`` for
-    undecodable bytes.
+    undecodable bytes and for records that unpack to more than ``limit`` bytes.
+    ``anchored`` as in ``http.is_chunked``.
     """
     kept = [c for c in records.columns if c != "content"]
+
+    def decoded(row: dict) -> dict:
+        return _guarded(lambda: row["content"], limit, anchored)
+
     return records.mapInArrow(
-        lambda batches: _outcomes(batches, kept, _DECODED_TYPES, lambda row: _guarded(lambda: row["content"])),
-        _decoded_schema(records, kept),
+        lambda batches: _outcomes(batches, kept, _DECODED_TYPES, decoded), _decoded_schema(records, kept)
     )
 
 
-def fetch_pages(index: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+def fetch_pages(
+    index: DataFrame, root: str, tasks: int | None = None, limit: int = UNPACKED_LIMIT, anchored: bool = False
+) -> DataFrame:
     """Read and decode in one pass: each record is decoded before the next is read.
 
     A range or file that cannot be read is an ``error`` row like undecodable bytes.
-    ``tasks`` defaults to ``fetch_tasks``.
+    ``tasks`` defaults to ``fetch_tasks``; the rest as for ``decode_records``.
     """
     kept = index.columns
     return _by_region(index, tasks or fetch_tasks(index)).mapInArrow(
-        lambda batches: _fetch_batches(batches, root, kept), _decoded_schema(index, kept)
+        lambda batches: _fetch_batches(batches, root, kept, limit, anchored), _decoded_schema(index, kept)
+    )
+
+
+def _unpacked_content(row: dict, limit: int) -> dict:
+    try:
+        return {"content": None if row["content"] is None else _unpacked(row["content"], limit)}
+    except Exception:  # noqa: BLE001
+        return {"content": None}
+
+
+def unpack_records(records: DataFrame, limit: int = UNPACKED_LIMIT) -> DataFrame:
+    """``content`` without compression; NULL for undecodable records and those beyond ``limit`` bytes."""
+    kept = [c for c in records.columns if c != "content"]
+    fields = [f"{name} {records.schema[name].dataType.simpleString()}" for name in kept]
+
+    def unpacked(row: dict) -> dict:
+        return _unpacked_content(row, limit)
+
+    return records.mapInArrow(
+        lambda batches: _outcomes(batches, kept, {"content": pa.binary()}, unpacked),
+        ", ".join([*fields, "content binary"]),
+    )
+
+
+def response_headers(unpacked: DataFrame, anchored: bool = False) -> DataFrame:
+    """Replace ``content`` by headers (MAP<STRING, ARRAY<STRING>>), charset and chunked.
+
+    Column expressions only; NULLs where a record or one of its two header blocks
+    has no end. ``anchored`` as in ``http.is_chunked``.
+    """
+    kept = [F.col(c) for c in unpacked.columns if c != "content"]
+    rest = settled(unpacked, kept, {"__rest": http.response(F.col("content"))})
+    block = settled(rest, kept, {"__block": http.header_block(F.col("__rest"))})
+    fields = settled(block, [*kept, F.col("__block")], {"headers": http.header_fields(F.col("__block"))})
+    return fields.select(
+        *kept,
+        "headers",
+        http.charset(F.col("headers")).alias("charset"),
+        http.is_chunked(F.col("__block"), F.col("headers"), anchored).alias("chunked"),
     )
 
 

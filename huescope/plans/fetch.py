@@ -20,7 +20,7 @@ never stored. Every attempt stays listed; ``latest_outcomes`` picks the last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huescope.operators import records
@@ -45,13 +45,16 @@ def plan_fetch(index: DataFrame, store: str, file_bytes: int = PLAN_FILE_BYTES)
     spread.write.mode("append").parquet(f"{store}/plan")
 
 
-def run_fetch(index: DataFrame, archive_root: str, store: str, step_files: int = STEP_FILES) -> None:
-    """Fetch what the plan asks for and no step has committed; of ``index`` only the columns count."""
+def run_fetch(index: DataFrame, archive_root: str, store: str, step_files: int = STEP_FILES, **decoding) -> None:
+    """Fetch what the plan asks for and no step has committed; of ``index`` only the columns count.
+
+    ``decoding`` goes to ``fetch_pages``.
+    """
     spark = index.sparkSession
     index.limit(0).write.mode("ignore").parquet(f"{store}/plan")
 
     def step(planned: DataFrame, number: int) -> None:
-        fetched = records.fetch_pages(planned, archive_root)
+        fetched = records.fetch_pages(planned, archive_root, **decoding)
         fetched.write.mode("overwrite").parquet(f"{store}/fetched/step={number}")
 
     planned = (
@@ -77,6 +80,7 @@ def resume_fetch(
     store: str,
     step_files: int = STEP_FILES,
     file_bytes: int = PLAN_FILE_BYTES,
+    **decoding,
 ) -> DataFrame:
     """Bring the store up to date with ``index`` and return all its attempts.
 
@@ -84,12 +88,12 @@ def resume_fetch(
     page is not stored: new ones, and those whose record failed before. A page
     counts as stored under its safe name. An empty index fetches nothing.
     """
-    run_fetch(index, archive_root, store, step_files)
+    run_fetch(index, archive_root, store, step_files, **decoding)
     pages = scan_fetched(index, store).where("status = 'ok'").select("domain")
     pending = resume_pending(index, pages.distinct())
     if not pending.isEmpty():
         plan_fetch(pending, store, file_bytes)
-        run_fetch(index, archive_root, store, step_files)
+        run_fetch(index, archive_root, store, step_files, **decoding)
     return scan_fetched(index, store)
 
 

@@ -57,6 +57,50 @@ def test_decoding(decoded, name):
     assert (row["error"] is not None) == (status == "error")
 
 
+def test_headers_as_columns_equal_the_decoder(spark, decoded):
+    rows = [(name, None if raw is None else bytearray(raw)) for name, (raw, _, _) in CASES.items()]
+    records = spark.createDataFrame(rows, "domain string, content binary")
+    for anchored in (False, True):
+        python = {r["domain"]: r for r in rec.decode_records(records, anchored=anchored).collect()}
+        found = {r["domain"]: r for r in rec.response_headers(rec.unpack_records(records), anchored).collect()}
+        assert {d: (r["charset"], r["chunked"]) for d, r in found.items()} == {
+            d: (r["charset"], r["chunked"]) for d, r in python.items()
+        }
+        assert python["longer header name"]["chunked"] is not anchored
+        assert python["longer header name"]["html"] == ("<p>" if anchored else None)
+    assert found["second line"]["headers"]["content-type"] == [" a\r", " b; charset=latin-1"]
+
+
+def test_anchored_takes_the_last_coding(spark):
+    heads = {
+        b"Transfer-Encoding:chunked": True, b"transfer-encoding:  gzip , Chunked ": True, b"Transfer-Encoding: chunked, gzip": False,
+        b"X-Transfer-Encoding: chunked": False, b"Transfer-Encoding: chunked;x": False, b"A: transfer-encoding: chunked": False,
+        b"Transfer-Encoding: gzip\r\nTransfer-Encoding: chunked": True, b"A: b": False,
+    }
+    rows = [(h.decode(), bytearray(record(h, b"1\r\nx\r\n0\r\n"))) for h in heads]
+    records = spark.createDataFrame(rows, "domain string, content binary")
+    want = {h.decode(): chunked for h, chunked in heads.items()}
+    native = rec.response_headers(rec.unpack_records(records), anchored=True).collect()
+    assert {r["domain"]: r["chunked"] for r in native} == want
+    assert {r["domain"]: r["chunked"] for r in rec.decode_records(records, anchored=True).collect()} == want
+
+
+def test_a_record_that_unpacks_to_too_much_is_an_error(spark):
+    """Two megabytes that unpack to two gigabytes, beside a record at the limit."""
+    bomb = gzip.compress(bytes(1 << 20), 9) * 2048
+    assert len(bomb) < 4 << 20
+    plain = record(b"X: y", b"z" * 5000)
+    rows = [("bomb", bytearray(bomb)), ("fits", bytearray(gzip.compress(plain))), ("raw", bytearray(plain))]
+    records = spark.createDataFrame(rows, "domain string, content binary")
+    found = {r["domain"]: r for r in rec.decode_records(records, limit=len(plain)).collect()}
+    assert {d: r["status"] for d, r in found.items()} == {"bomb": "error", "fits": "ok", "raw": "ok"}
+    assert "more than" in found["bomb"]["error"]
+    assert rec.decode_records(records.where("domain = 'bomb'")).first()["status"] == "error"
+    short = rec.decode_records(records, limit=len(plain) - 1).where("domain = 'fits'").first()
+    assert short["status"] == "error"
+    assert rec.unpack_records(records, len(plain)).where("content is null").count() == 1
+
+
 def test_charset_column(decoded):
     assert decoded["plain"]["charset"] == "utf-8"
     assert decoded["last charset"]["charset"] == "windows-1252"
