@@ -15,7 +15,7 @@ _CAPTURE = "url, url_host_registered_domain, url_protocol, content_digest"
 _STYLESHEET = "page_id, block, rule, selector, color, background, unreadable"
 _DECL = "page_id, kind, block, rule, selector, color, background, unreadable"
 _RESULT = (
-    "domain, status, total_pairings, pass_normal, fail_normal, pass_large, fail_large, "
+    "domain, status, error, total_pairings, pass_normal, fail_normal, pass_large, fail_large, "
     "pass_rate_normal, pass_rate_large, worst_ratio, best_ratio, median_ratio, mean_ratio"
 )
 _WORST = "worst_fg, worst_bg, worst_pair_ratio"
@@ -26,7 +26,7 @@ _PAIR_LIST = f"""
 """
 
 
-def _parsed(prefix: str | None) -> str:
+def _parsed(prefix: str | None, texts: str = inputs.COLOUR_TEXTS) -> str:
     code = "code" if prefix is None else f"CASE WHEN lower(value) LIKE '{prefix}%' THEN code END"
     if prefix == "":
         code = "CASE WHEN NOT regexp_matches(lower(value), '^(#|rgb|hsl)') THEN code END"
@@ -34,7 +34,7 @@ def _parsed(prefix: str | None) -> str:
 SELECT l_orderkey, l_linenumber, value, CASE WHEN c >= 0 THEN (c >> 16) % 256 END AS r,
        CASE WHEN c >= 0 THEN (c >> 8) % 256 END AS g, CASE WHEN c >= 0 THEN c % 256 END AS b,
        coalesce(c = -1, false) AS unreadable
-FROM (SELECT *, {code} AS c FROM ({o.coded(f'({inputs.COLOUR_TEXTS})', 'value', 'code')}))
+FROM (SELECT *, {code} AS c FROM ({o.coded(f'({texts})', 'value', 'code')}))
 """
 
 
@@ -227,6 +227,7 @@ CHECKS: dict[str, str] = {
     "parse_hsl": _parsed("hsl"),
     "named_colour": _parsed(""),
     "parse_colour": _parsed(None),
+    "parse_colour_once": _parsed(None, inputs.REPEATED_COLOURS),
     "hsl_to_rgb": _HSL,
     "relative_luminance": f"SELECT l_orderkey, l_linenumber, {o.luminance('fg')} AS luminance FROM ({_WIDE})",
     "contrast_ratio": f"SELECT l_orderkey, l_linenumber, {o.contrast('fg', 'bg')} AS contrast FROM ({_WIDE})",

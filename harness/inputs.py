@@ -89,7 +89,9 @@ _COLOURS = f"""
 SELECT page_id, url, html, {_PAIR} AS pair1, {any_colour('page_id')} AS c0, {named('page_id + 1')} AS c1,
        {any_colour('page_id + 5')} AS c2, {any_colour('page_id * 3 + 1')} AS c3, {any_colour('page_id + 2')} AS c4,
        {any_colour('page_id + 7')} AS c5, {any_colour('page_id + 4')} AS c6,
-       CASE WHEN page_id % 23 = 0 THEN '<style>.bad{{color:#ggg}}</style></head>' ELSE '</head>' END AS head
+       CASE WHEN page_id % 23 > 0 THEN '</head>' WHEN page_id % 3 = 0 THEN '<style>.bad{{color:#ggg}}</style></head>'
+            WHEN page_id % 3 = 1 THEN '<style>.bad{{color:#1h2345;background:#fff none}} .worse{{background:#"''00}}</style></head>'
+            ELSE '<style>.bad{{color:#12345q;background-color:#zz0000}}</style></head>' END AS head
 FROM pages
 """
 
@@ -137,6 +139,10 @@ SITES = f"SELECT page_id, {audit_domain()} AS domain, html FROM ({STYLED}) style
 COLOUR_TEXTS = f"""
 SELECT l_orderkey, l_linenumber, {any_colour('l_orderkey * 7 + l_linenumber')} AS value FROM lineitem
 """
+REPEATED_COLOURS = f"""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'hsl(200, 30%, 40%)' WHEN l_orderkey % 7 = 1 THEN NULL
+       ELSE {any_colour('(l_orderkey % 500 + l_linenumber)')} END AS value FROM lineitem
+"""
 WIDE_PAIRS = f"""
 SELECT l_orderkey, l_linenumber, l_returnflag,
        '#' || {hex6('l_orderkey * 7919 + l_linenumber % 3 * 65793')} AS fg_text,

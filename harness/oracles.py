@@ -150,10 +150,17 @@ FROM chosen GROUP BY page_id, kind, block, rule
 """
 KEPT = "SELECT * FROM decls WHERE color IS NOT NULL OR background IS NOT NULL OR unreadable"
 CODED = coded(f"({coded('kept', 'color', 'fg')})", "background", "bg")
-STATUS = """
-SELECT page_id, CASE WHEN page_id IN (SELECT page_id FROM coded WHERE unreadable OR fg = -1 OR bg = -1)
-       THEN 'error' ELSE 'analysed' END AS status
-FROM styled
+STATUS = r"""
+SELECT s.page_id, CASE WHEN text IS NULL THEN 'analysed' ELSE 'error' END AS status,
+       'invalid literal for int() with base 16: ''' || list_filter([d[1:2], d[3:4], d[5:6]],
+           lambda p: NOT regexp_full_match(p, '[0-9a-f]{2}|[\s+][0-9a-f]|[0-9a-f]\s'))[1] || '''' AS error
+FROM styled s LEFT JOIN (
+    SELECT page_id, text, CASE WHEN length(text) <= 5 THEN regexp_replace(text[2:4], '(.)', '\1\1', 'g') ELSE text[2:7] END AS d
+    FROM (SELECT page_id, arg_min(lower(text), (stage, kind, block, rule, side)) AS text FROM (
+        SELECT page_id, 0 AS stage, kind, block, rule, pos AS side, value AS text FROM chosen WHERE name = 'background' AND whole = -1
+        UNION ALL SELECT page_id, 1, kind, block, rule, 0, color FROM coded WHERE fg = -1
+        UNION ALL SELECT page_id, 1, kind, block, rule, 1, background FROM coded WHERE bg = -1) GROUP BY page_id)
+) f USING (page_id)
 """
 PAIRS = """
 SELECT page_id, kind, block, rule, selector,
@@ -188,7 +195,7 @@ _COUNTS = ("total_pairings", "pass_normal", "fail_normal", "pass_large", "fail_l
 _STATS = ("pass_rate_normal", "pass_rate_large", "worst_ratio", "best_ratio", "median_ratio", "mean_ratio")
 RESULTS = f"""
 SELECT s.page_id, s.domain, coalesce(t.status, 'analysed') AS status,
-       {', '.join(f"CASE WHEN t.status IS DISTINCT FROM 'error' THEN coalesce(p.{c}, 0) END AS {c}" for c in _COUNTS)},
+       t.error, {', '.join(f"CASE WHEN t.status IS DISTINCT FROM 'error' THEN coalesce(p.{c}, 0) END AS {c}" for c in _COUNTS)},
        {', '.join(f"CASE WHEN t.status IS DISTINCT FROM 'error' THEN p.{c} END AS {c}" for c in _STATS)},
        CASE WHEN t.status IS DISTINCT FROM 'error' THEN w.foreground END AS worst_fg,
        CASE WHEN t.status IS DISTINCT FROM 'error' THEN w.background END AS worst_bg,

@@ -258,7 +258,7 @@ def write_fetch_log(spark, folder):
 
 
 _RESULT_COLUMNS = (
-    "domain", "status", "total_pairings", "pass_normal", "fail_normal", "pass_large", "fail_large",
+    "domain", "status", "error", "total_pairings", "pass_normal", "fail_normal", "pass_large", "fail_large",
     "pass_rate_normal", "pass_rate_large", "worst_ratio", "best_ratio", "median_ratio", "mean_ratio",
 )
 
@@ -565,22 +565,22 @@ def parse_css_rules(spark, folder):
 @query
 def parse_declarations(spark, folder):
     rules = _rules(spark, folder).where(css.has_colour_property(F.col("body")))
-    return dec.parse_declarations(rules)
+    return dec.parse_declarations(rules).drop("failing")
 
 
 @query
 def filter_declarations(spark, folder):
-    return dec.filter_declarations(dec.parse_declarations(_rules(spark, folder)))
+    return dec.filter_declarations(dec.parse_declarations(_rules(spark, folder))).drop("failing")
 
 
 @query
 def inline_declarations(spark, folder):
-    return _seq(dec.inline_declarations(_styled(spark, folder), KEY))
+    return _seq(dec.inline_declarations(_styled(spark, folder), KEY)).drop("failing")
 
 
 @query
 def union_declarations(spark, folder):
-    return _seq(dec.union_declarations(_styled(spark, folder), KEY))
+    return _seq(dec.union_declarations(_styled(spark, folder), KEY)).drop("failing")
 
 
 _SHORTHANDS = """
@@ -639,6 +639,14 @@ def parse_colour(spark, folder):
     return coded.select("l_orderkey", "l_linenumber", "value", *_channel_columns(F.col("code")))
 
 
+@query
+def parse_colour_once(spark, folder):
+    """Few different texts on many rows, one of them on a third, through the dictionary."""
+    rows = _sql(spark, folder, inputs.REPEATED_COLOURS, "lineitem")
+    coded = colours.with_colour_code_once(rows, "value", "code")
+    return coded.select("l_orderkey", "l_linenumber", "value", *_channel_columns(F.col("code")))
+
+
 @query
 def hsl_to_rgb(spark, folder):
     rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(

@@ -190,7 +190,8 @@ _NUMBER = (
     r"|^[+-]?inf(?:inity)?\z"
 )
 _SEPARATORS = ",/" + WS_CHARS
-_HEX_PAIRS = r"^(?:[0-9a-f]{2}|[\s+][0-9a-f]|[0-9a-f]\s){3}\z"
+_HEX_PAIR = r"(?:[0-9a-f]{2}|[\s+][0-9a-f]|[0-9a-f]\s)"
+_HEX_PAIRS = rf"^{_HEX_PAIR}{{3}}\z"
 
 
 def channel_linear(channel: int) -> float:
@@ -325,24 +326,31 @@ def _rgb_code(r: Column, g: Column, b: Column) -> Column:
     )
 
 
-def hsl_to_rgb(hue: Column, saturation: Column, lightness: Column) -> Column:
-    """HSL (degrees, 0..1, 0..1) to a colour code, channels rounded half-even.
-
-    NULL when an argument is NULL or not finite.
-    """
+def _hsl_terms(hue: Column, saturation: Column, lightness: Column) -> dict[str, Column]:
+    """What the channels are mixed from; NULL when an argument is NULL or not finite."""
+    known = ~(_infinite(hue) | _infinite(saturation) | _infinite(lightness))
     chroma = (F.lit(1.0) - F.abs(F.lit(2.0) * lightness - F.lit(1.0))) * saturation
-    offset = lightness - chroma / F.lit(2.0)
-    turn = F.pmod(hue, F.lit(360.0)) / F.lit(60.0)
+    return {
+        "chroma": F.when(known, chroma),
+        "offset": lightness - chroma / F.lit(2.0),
+        "turn": F.when(known, F.pmod(hue, F.lit(360.0)) / F.lit(60.0)),
+    }
+
+
+def _hsl_code(chroma: Column, offset: Column, turn: Column) -> Column:
+    """The channels of one sixth of the circle, rounded half-even."""
     side = F.lit(1.0) - F.abs(F.pmod(turn, F.lit(2.0)) - F.lit(1.0))
     sextant = F.floor(turn).cast("int")
     full, none = F.lit(1.0), F.lit(0.0)
 
     def level(*weights: Column) -> Column:
-        return F.rint((chroma * F.get(F.array(*weights), sextant) + offset) * F.lit(255.0))
+        weight = F.when(sextant == 0, weights[0])
+        for n, w in enumerate(weights[1:], 1):
+            weight = weight.when(sextant == n, w)
+        return F.rint((chroma * weight + offset) * F.lit(255.0))
 
-    known = ~(_infinite(hue) | _infinite(saturation) | _infinite(lightness))
     return F.when(
-        known,
+        chroma.isNotNull(),
         _channel_code(
             level(full, side, none, none, side, full),
             level(side, full, full, side, none, none),
@@ -351,6 +359,14 @@ def hsl_to_rgb(hue: Column, saturation: Column, lightness: Column) -> Column:
     )
 
 
+def hsl_to_rgb(hue: Column, saturation: Column, lightness: Column) -> Column:
+    """HSL (degrees, 0..1, 0..1) to a colour code, channels rounded half-even.
+
+    NULL when an argument is NULL or not finite.
+    """
+    return _hsl_code(**_hsl_terms(hue, saturation, lightness))
+
+
 def _numbers(syntax: Column, code: Column, *rest: Column) -> dict[str, Column]:
     """The three arguments as numbers."""
     columns = {"syntax": syntax, "code": code}
@@ -378,7 +394,8 @@ def _levels(syntax: Column, code: Column, *rest: Column) -> dict[str, Column]:
 def _fixed(syntax: Column, code: Column, n0: Column, n1: Column, n2: Column) -> dict[str, Column]:
     """``code`` of rgb values too; only hsl is left to convert."""
     rgb = F.when(syntax == 1, _rgb_code(n0, n1, n2)).otherwise(code)
-    return {"syntax": syntax, "code": rgb, "n0": n0, "n1": n1, "n2": n2}
+    terms = {name: F.when(syntax == 2, term) for name, term in _hsl_terms(n0, n1, n2).items()}
+    return {"syntax": syntax, "code": rgb, **terms}
 
 
 _STEPS = (
@@ -389,19 +406,19 @@ _STEPS = (
     (("syntax", "code", "v0", "unit0", "v1", "unit1", "v2", "unit2"), _levels),
     (("syntax", "code", "n0", "n1", "n2"), _fixed),
 )
-_LAST = ("syntax", "code", "n0", "n1", "n2")
+_LAST = ("syntax", "code", "chroma", "offset", "turn")
 
 
-def _code(syntax: Column, code: Column, n0: Column, n1: Column, n2: Column) -> Column:
-    return F.when(syntax == 2, hsl_to_rgb(n0, n1, n2)).otherwise(code)
+def _code(syntax: Column, code: Column, chroma: Column, offset: Column, turn: Column) -> Column:
+    return F.when(syntax == 2, _hsl_code(chroma, offset, turn)).otherwise(code)
 
 
 def _direct(norm: Column, other: Column) -> Column:
     """Plain hex digits and names at once; ``other`` is evaluated for the rest only."""
     doubled = F.regexp_replace(norm, r"([0-9a-f])", "$1$1")
     return (
-        F.when(norm.rlike(r"^#[0-9a-f]{6}\z"), F.conv(F.substring(norm, 2, 6), 16, 10).cast("int"))
-        .when(norm.rlike(r"^#[0-9a-f]{3}\z"), F.conv(F.substring(doubled, 2, 6), 16, 10).cast("int"))
+        F.when(norm.rlike(r"^#(?:[0-9a-f]{6}|[0-9a-f]{8})\z"), F.conv(F.substring(norm, 2, 6), 16, 10).cast("int"))
+        .when(norm.rlike(r"^#[0-9a-f]{3,4}\z"), F.conv(F.substring(doubled, 2, 6), 16, 10).cast("int"))
         .when(norm.startswith("#") | norm.startswith("rgb") | norm.startswith("hsl"), other)
         .otherwise(F.try_element_at(_named_map(), norm))
     )
@@ -427,6 +444,30 @@ def _code_of(norm: Column) -> Column:
     return _direct(norm, F.get(_stepped(F.array(norm)), F.lit(0)))
 
 
+def _quoted(text: Column) -> Column:
+    """The text as a literal: quotes, backslashes and line ends escaped."""
+    shown = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, name in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        shown = F.replace(shown, F.lit(raw), F.lit(name))
+    single, double = F.lit("'"), F.lit('"')
+    plain = F.concat(single, F.replace(shown, single, F.lit("\\'")), single)
+    return F.when(text.contains("'") & ~text.contains('"'), F.concat(double, shown, double)).otherwise(plain)
+
+
+def unreadable_message(text: Column) -> Column:
+    """Why an ``UNREADABLE`` value cannot be read: its first bad pair of digits, or an infinite channel.
+
+    Fixed values: the wording of both messages. Control characters other than tab
+    and line ends are shown as they are.
+    """
+    norm = normalised(text)
+    digits = _cut(norm)["digits"]
+    pairs = [F.substring(digits, at, 2) for at in (1, 3, 5)]
+    bad = F.coalesce(*[F.when(~p.rlike(rf"^{_HEX_PAIR}\z"), p) for p in pairs])
+    literal = F.concat(F.lit("invalid literal for int() with base 16: "), _quoted(bad))
+    return F.when(norm.startswith("#"), literal).otherwise("cannot convert float infinity to integer")
+
+
 def with_colour_code(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the colour code of a text column; the prefix alone decides the syntax."""
     kept = [F.col(c) for c in df.columns]
@@ -434,6 +475,20 @@ def with_colour_code(df: DataFrame, text: str, out: str) -> DataFrame:
     return settled(frame, kept, {out: _code_of(F.col("__norm"))})
 
 
+def with_colour_code_once(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``with_colour_code`` through a dictionary: each different text is parsed once.
+
+    For wide tables in which texts repeat. Map tasks fold equal texts before they
+    are shuffled. A small dictionary is broadcast by its size at run time; with a
+    large one a text that fills a third of the rows meets one dictionary row, and
+    adaptive execution splits those rows over tasks.
+    """
+    texts = df.select(F.col(text).alias("__text")).where(F.col(text).isNotNull()).distinct()
+    parsed = with_colour_code(texts, "__text", "__code")
+    joined = df.join(parsed, F.col(text) == F.col("__text"), "left")
+    return joined.select(*df.columns, F.col("__code").alias(out))
+
+
 def colour_codes(texts: Column) -> Column:
     """ARRAY<STRING> to ARRAY<INT> of colour codes."""
     return F.transform(F.transform(texts, normalised), _code_of)

@@ -118,6 +118,11 @@ def unreadable(properties: Column) -> Column:
     return F.exists(properties, lambda p: p.getField("unreadable"))
 
 
+def unreadable_text(properties: Column) -> Column:
+    """The first ``background`` value that cannot be read, NULL if there is none."""
+    return F.get(F.filter(properties, lambda p: p.getField("unreadable")), F.lit(0)).getField("value")
+
+
 def colour_pair(color: Column, background: Column) -> Column:
     """Colour codes of both values as ARRAY<INT>."""
     return colour_codes(F.array(color, background))

@@ -44,7 +44,7 @@ def parse_css_rules(blocks: DataFrame, text: str = "css") -> DataFrame:
 
 
 def parse_declarations(rules: DataFrame, body: str = "body") -> DataFrame:
-    """Add color, background and unreadable; drops the body.
+    """Add color, background, unreadable and the ``failing`` shorthand value; drops the body.
 
     Rules that set neither are kept here; see ``filter_declarations``.
     """
@@ -58,6 +58,7 @@ def parse_declarations(rules: DataFrame, body: str = "body") -> DataFrame:
             "color": css.text_colour(properties),
             "background": css.background_colour(properties),
             "unreadable": css.unreadable(properties),
+            "failing": css.unreadable_text(properties),
         },
     )
 
@@ -82,6 +83,7 @@ def inline_declarations(pages: DataFrame, key: str = "domain", text: str = "html
         "color",
         "background",
         "unreadable",
+        "failing",
     )
 
 
@@ -127,4 +129,5 @@ def union_declarations(
         "color",
         "background",
         "unreadable",
+        "failing",
     )

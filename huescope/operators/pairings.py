@@ -26,6 +26,7 @@ from huescope.functions.colours import (
     WHITE,
     ratio_of_luminances,
     relative_luminance,
+    unreadable_message,
     with_colour_code,
 )
 from huescope.functions.numeric import exact_mean, percent, round_half_even, upper_median
@@ -65,7 +66,7 @@ def build_pairings(coded: DataFrame, key: str = "domain") -> DataFrame:
     A side counts as missing when its value is no colour, e.g. ``transparent``.
     A page with an unreadable colour has no pairs at all.
     """
-    kept = [c for c in coded.columns if c not in ("color", "background", "fg", "bg", "unreadable")]
+    kept = [c for c in coded.columns if c not in ("color", "background", "fg", "bg", "unreadable", "failing")]
     readable = flag_pages(coded, key).where(~F.col("page_failed") & _is_pair())
     return readable.select(
         *kept,
@@ -169,10 +170,30 @@ def worst_pairings_topk(pairings: DataFrame, key: str = "domain", k: int = WORST
     return ranked.where(F.col("place") <= k)
 
 
+def _first_failure() -> Column:
+    """(order, text) of a declaration's failing value, NULL if it has none.
+
+    Shorthand values are looked at while styles are read, so any of them comes
+    before the colours of pairs; those go by declaration, text colour first.
+    """
+    seq = F.col("seq")
+    return (
+        F.when(F.coalesce("unreadable", F.lit(False)), F.struct(F.lit(0).alias("stage"), seq, F.col("failing").alias("text")))
+        .when(F.col("fg") == UNREADABLE, F.struct(F.lit(1).alias("stage"), seq, F.col("color").alias("text")))
+        .when(F.col("bg") == UNREADABLE, F.struct(F.lit(1).alias("stage"), seq, F.col("background").alias("text")))
+    )
+
+
 def page_status(coded: DataFrame, key: str = "domain") -> DataFrame:
-    """'error' for pages with an unreadable colour anywhere, else 'analysed'.
+    """status and error of every page: 'error' with an unreadable colour anywhere, else 'analysed'.
 
-    ``coded`` has a row for every page, as for ``page_summary_empty``.
+    ``error`` tells of the first such value of the page. ``coded`` has a row for
+    every page, as for ``page_summary_empty``.
     """
-    failed = coded.groupBy(key).agg(F.max(is_unreadable()).alias("page_failed"))
-    return failed.select(key, F.when(F.col("page_failed"), "error").otherwise("analysed").alias("status"))
+    first = coded.groupBy(key).agg(F.min(_first_failure()).alias("first"))
+    text = F.col("first.text")
+    return first.select(
+        key,
+        F.when(F.col("first").isNotNull(), "error").otherwise("analysed").alias("status"),
+        F.when(F.col("first").isNotNull(), unreadable_message(text)).alias("error"),
+    )

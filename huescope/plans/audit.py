@@ -22,15 +22,13 @@ from huescope.functions.colours import (
     channels,
     ratio_of_luminances,
     relative_luminance,
+    unreadable_message,
 )
 from huescope.functions.frames import settled
 from huescope.functions.numeric import percent, round_half_even
 from huescope.functions.text import newlines
 from huescope.operators.pairings import ASSUMED_BACKGROUND, ASSUMED_FOREGROUND, WORST_PER_PAGE
 
-ERROR_TEXT = "unreadable colour value"
-
-
 def _rule_list(tokens: Column) -> Column:
     """ARRAY<STRUCT<selector, body>>: style sheets first, then inline styles."""
     sheets = F.flatten(
@@ -51,7 +49,10 @@ def _rule_list(tokens: Column) -> Column:
 
 
 def _declaration_list(rules: Column) -> Column:
-    """ARRAY<STRUCT<selector, color, background, fg, bg, unreadable>>."""
+    """ARRAY<STRUCT<selector, color, background, fg, bg, failing>>.
+
+    ``failing``: the shorthand value that cannot be read, if any.
+    """
     properties = F.transform(
         rules,
         lambda r: F.struct(
@@ -65,7 +66,7 @@ def _declaration_list(rules: Column) -> Column:
             d.getField("selector").alias("selector"),
             css.text_colour(d.getField("p")).alias("color"),
             css.background_colour(d.getField("p")).alias("background"),
-            css.unreadable(d.getField("p")).alias("unreadable"),
+            css.unreadable_text(d.getField("p")).alias("failing"),
         ),
     )
     coded = F.transform(
@@ -82,14 +83,24 @@ def _declaration_list(rules: Column) -> Column:
             x.getField("d").getField("background").alias("background"),
             F.get(x.getField("c"), F.lit(0)).alias("fg"),
             F.get(x.getField("c"), F.lit(1)).alias("bg"),
-            (
-                x.getField("d").getField("unreadable")
-                | F.coalesce(F.array_contains(x.getField("c"), UNREADABLE), F.lit(False))
-            ).alias("unreadable"),
+            x.getField("d").getField("failing").alias("failing"),
         ),
     )
 
 
+def _first_failing(declarations: Column) -> Column:
+    """The value that fails the page: the first shorthand, or else the first colour of a pair."""
+
+    def colour(d: Column) -> Column:
+        return F.when(d.getField("fg") == UNREADABLE, d.getField("color")).when(
+            d.getField("bg") == UNREADABLE, d.getField("background")
+        )
+
+    shorthands = F.transform(declarations, lambda d: d.getField("failing"))
+    colours = F.transform(declarations, colour)
+    return F.coalesce(*[F.get(F.filter(x, lambda t: t.isNotNull()), F.lit(0)) for x in (shorthands, colours)])
+
+
 def _pair_list(declarations: Column) -> Column:
     """Pairs sorted by (pair, seq): equal pairs are neighbours, first one first."""
 
@@ -157,25 +168,28 @@ def _distinct_list(pairs: Column) -> Column:
 
 
 def page_pairings(pages: DataFrame, key: str = "domain", text: str = "html") -> DataFrame:
-    """(key, failed, pairings): deduplicated pairings of each page, in discovery order."""
+    """(key, failed, error, pairings): deduplicated pairings of each page, in discovery order."""
     tokens = pages.select(key, html.style_tokens(newlines(F.coalesce(text, F.lit("")))).alias("tokens"))
     declared = tokens.select(key, _declaration_list(_rule_list(F.col("tokens"))).alias("declarations"))
-    judged = declared.select(
-        key,
-        F.exists("declarations", lambda d: d.getField("unreadable")).alias("failed"),
-        "declarations",
+    judged = settled(
+        declared,
+        [F.col(key), F.col("declarations")],
+        {"failing": _first_failing(F.col("declarations"))},
     )
+    failed = F.col("failing").isNotNull()
     paired = judged.select(
         key,
-        "failed",
-        F.when(F.col("failed"), F.slice("declarations", 1, 0))
-        .otherwise(F.col("declarations"))
-        .alias("declarations"),
-    ).select(key, "failed", _pair_list(F.col("declarations")).alias("pairs"))
+        "failing",
+        F.when(failed, F.slice("declarations", 1, 0)).otherwise(F.col("declarations")).alias("declarations"),
+    ).select(key, "failing", _pair_list(F.col("declarations")).alias("pairs"))
     return settled(
         paired,
         [F.col(key)],
-        {"failed": F.col("failed"), "pairings": _distinct_list(F.col("pairs"))},
+        {
+            "failed": failed,
+            "error": F.when(failed, unreadable_message(F.col("failing"))),
+            "pairings": _distinct_list(F.col("pairs")),
+        },
     )
 
 
@@ -199,7 +213,7 @@ def _statistics() -> dict[str, Column]:
     worst = F.transform(F.slice(F.array_sort(ranked), 1, WORST_PER_PAGE), lambda x: x.getField("p"))
     return {
         "status": F.when(analysed, "analysed").otherwise("error"),
-        "error": F.when(~analysed, F.lit(ERROR_TEXT)),
+        "error": F.col("error"),
         "total_pairings": known(total),
         "pass_normal": known(n_normal),
         "fail_normal": known(total - n_normal),
@@ -220,6 +234,6 @@ def analyse_pages(pages: DataFrame, key: str = "domain", text: str = "html") ->
     """One result row per page, with nested ``pairings`` and ``worst_pairings``."""
     sorted_ratios = F.array_sort(F.transform("pairings", lambda p: p.getField("ratio")))
     rows = page_pairings(pages, key, text).select(
-        key, "failed", "pairings", sorted_ratios.alias("ratios")
+        key, "failed", "error", "pairings", sorted_ratios.alias("ratios")
     )
     return settled(rows, [F.col(key)], _statistics())

@@ -115,3 +115,31 @@ def test_contrast_is_symmetric_and_bounded(spark):
 def test_luminance_of_mid_grey(spark):
     row = spark.range(1).select(colours.relative_luminance(F.lit(0x808080)).alias("l")).first()
     assert abs(row["l"] - 0.2159) < 0.001
+
+
+@pytest.mark.parametrize("value", ["#ggg", "#GGG", "##xyz", "#12345q", "#fff none", "#1x34", "#'ab", '#"ab', "#\\00", "#'\"ab45", "#0\t0 0x", "#é00"])
+def test_message_is_that_of_the_first_bad_pair(spark, value):
+    digits = value.strip().lower().lstrip("#")
+    digits = "".join(c * 2 for c in digits[:3]) if len(digits) < 5 else digits
+    problem = None
+    for at in (0, 2, 4):
+        try:
+            int(digits[at : at + 2], 16)
+        except ValueError as error:
+            problem = problem or str(error)
+    row = spark.createDataFrame([(value,)], "v string").select(colours.unreadable_message(F.col("v")), colours.parse_colour(F.col("v"))).first()
+    assert tuple(row) == (problem, colours.UNREADABLE)
+
+
+def test_message_of_an_infinite_channel(spark):
+    row = spark.createDataFrame([("rgb(1e999, 1, 2)",)], "v string").select(colours.unreadable_message(F.col("v"))).first()
+    with pytest.raises(OverflowError) as problem:
+        int(float("inf"))
+    assert row[0] == str(problem.value)
+
+
+def test_dictionary_equals_parsing_each_row(spark):
+    texts = ["red", "RED ", "#fff", "hsl(200, 30%, 40%)", "rgb(inf, 1, 2)", "#ggg", "nope", "", None] + ["hsl(0, 0%, 7%)"] * 60
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, value string").repartition(4)
+    once = {tuple(r) for r in colours.with_colour_code_once(rows, "value", "code").collect()}
+    assert once == {tuple(r) for r in colours.with_colour_code(rows, "value", "code").collect()} and len(once) == len(texts)
