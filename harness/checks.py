@@ -172,6 +172,7 @@ CHECKS: dict[str, str] = {
     "normalise_captures": f"SELECT * REPLACE ('text/html' AS mime, '' AS digest) FROM ({o.FOUND})",
     "mark_not_found": f"SELECT status, domain, url FROM ({o.INDEX})",
     "homepage_lookup": o.INDEX,
+    "bucketed_lookup": o.INDEX,
     "filter_found": f'SELECT domain, url, "offset", length FROM ({o.FOUND})',
     "lookup_counts": f"""SELECT (SELECT count(*) FROM ({o.FOUND})) AS found,
         (SELECT count(*) FROM ({o.INDEX}) WHERE status = 'not_found') AS not_found,

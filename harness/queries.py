@@ -379,6 +379,16 @@ def _index(spark, folder) -> DataFrame:
     return lookup_homepages(_captures(spark, folder), _domains(spark, folder), inputs.CRAWL)
 
 
+@query
+def bucketed_lookup(spark, folder):
+    """The lookup of a long list over tables bucketed by registered domain."""
+    made = []
+    for name, bucket, rows in (("captures", idx.bucket_captures, _captures), ("domains", idx.bucket_domains, _domains)):
+        spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
+        made.append(bucket(rows(spark, folder), f"bucketed_{name}", fresh_path(spark, f"bucketed-{name}"), 8))
+    return lookup_homepages(*made, inputs.CRAWL, long_list=True)
+
+
 @query
 def homepage_lookup(spark, folder):
     return _index(spark, folder)

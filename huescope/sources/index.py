@@ -36,6 +36,29 @@ def register_capture_table(
     return spark.table(table)
 
 
+def bucket_captures(captures: DataFrame, table: str, root: str, buckets: int) -> DataFrame:
+    """Catalog table of captures under ``root``, bucketed by registered domain within crawl and subset.
+
+    Paid once per crawl: a pick per domain and a join with a list that is bucketed
+    alike then read matching buckets and shuffle nothing. Rows lie by domain and
+    path, so a scan for homepages skips most of a domain with many captures. A
+    bucket is read by one task; for a crawl with a domain of more captures than
+    that bears, the plain table is the better one.
+    """
+    key = "url_host_registered_domain"
+    rows = captures.repartition(buckets, key)
+    writer = rows.write.mode("overwrite").partitionBy("crawl", "subset").bucketBy(buckets, key)
+    writer.sortBy(key, "url_path").option("path", root).format("parquet").saveAsTable(table)
+    return captures.sparkSession.table(table)
+
+
+def bucket_domains(domains: DataFrame, table: str, root: str, buckets: int) -> DataFrame:
+    """Catalog table of a domain list under ``root``, bucketed as captures are."""
+    writer = domains.repartition(buckets, "domain").write.mode("overwrite").bucketBy(buckets, "domain")
+    writer.sortBy("domain").option("path", root).format("parquet").saveAsTable(table)
+    return domains.sparkSession.table(table)
+
+
 def scan_capture_csv(spark: SparkSession, path: str, line_ends_in_cells: bool = True) -> DataFrame:
     """Rows of a query-result CSV by header name, all text; an empty cell is the empty text.
 

@@ -124,3 +124,23 @@ def test_counts(spark):
     index = spark.createDataFrame([("found",), ("found",), ("not_found",)], "status string")
     domains = spark.range(7).select(F.col("id").cast("string").alias("domain"))
     assert tuple(cap.lookup_counts(index, domains).first()) == (2, 1, 7)
+
+
+def test_buckets_serve_pick_and_list_without_a_shuffle(spark, tmp_path):
+    rows = captures(spark)
+    listed = ["hot.example", "d1.example", "d7.example", "none.example"]
+    domains = spark.createDataFrame([(i, d) for i, d in enumerate(listed)], "rank int, domain string")
+    for name in ("test_captures_by_domain", "test_domains_by_domain"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    table = idx.bucket_captures(rows, "test_captures_by_domain", str(tmp_path / "c"), 6)
+    listing = idx.bucket_domains(domains, "test_domains_by_domain", str(tmp_path / "d"), 6)
+    picked = cap.pick_homepage(cap.filter_homepage_captures(table, "C"))
+    joined = cap.filter_domain_in(picked, listing.hint("merge"))
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "SortMergeJoin" in text and "PartitionFilters: [isnotnull(crawl" in text
+    want = expected(rows.collect(), set(listed))
+    assert {r["url_host_registered_domain"]: r["url"] for r in joined.collect()} == want
+    whole = lookup_homepages(table, listing, "C", long_list=True).collect()
+    assert {r["domain"]: r["url"] for r in whole} == want | {"none.example": None} and len(whole) == 4
+    for name in ("test_captures_by_domain", "test_domains_by_domain"):
+        spark.sql(f"DROP TABLE {name}")
