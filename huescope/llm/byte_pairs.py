@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huescope.llm.common import arrow_map, pick, text_or_empty
+from huescope.llm.common import TEXT_BYTES, arrow_map, pick, text_or_empty
 
 #: Characters of a segment, at least, and of the texts that are merged together.
 SEGMENT, BATCH = 1 << 18, 1 << 20
@@ -240,7 +240,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     texts, kind = _texts(docs)
     schema = f"doc_id {kind}, part int, last boolean, ids binary"
-    return arrow_map(texts, lambda rows: _encoded(vocabulary_of(path), rows), schema, 500)
+    return arrow_map(texts, lambda rows: _encoded(vocabulary_of(path), rows), schema, 2000, TEXT_BYTES)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -256,7 +256,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             yield doc_id, part, last, decode_bytes(vocabulary, ids).decode("utf-8", "replace")
 
     chosen = pick(encoded, "doc_id", "part", "last", "ids")
-    return arrow_map(chosen, rows, f"doc_id {kind}, part int, last boolean, text string", 500)
+    return arrow_map(chosen, rows, f"doc_id {kind}, part int, last boolean, text string", 2000, TEXT_BYTES)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from huescope.sources.shared import fresh_path
 
+#: Characters of text that a batch of output rows may hold.
+TEXT_BYTES = 16_000_000
 #: The ASCII white space that separates words, as Java and Python regular expressions read it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -44,12 +46,19 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def arrow_map(
-    df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, flush: int = 2000
+    df: DataFrame,
+    rows: Callable[[Iterator[tuple]], Iterable[tuple]],
+    schema: str,
+    flush: int = 2000,
+    flush_bytes: int | None = None,
 ) -> DataFrame:
     """Run a generator of tuples over each partition's rows, in Arrow batches.
 
-    Input batches keep Spark's byte limit; output goes out every ``flush`` rows.
+    Input batches keep Spark's byte limit; output goes out every ``flush`` rows,
+    with ``flush_bytes`` also as soon as its texts hold so many: for rows that
+    carry whole texts, which few rows are turned into objects at once then.
     """
+    step = 16 if flush_bytes else 512
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -58,16 +67,19 @@ def arrow_map(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def incoming() -> Iterator[tuple]:
             for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    part = batch.slice(start, 512)
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
                     yield from zip(*[c.to_pylist() for c in part.columns])
 
         pending: list[tuple] = []
+        held = 0
         for row in rows(incoming()):
             pending.append(row)
-            if len(pending) >= flush:
+            if flush_bytes:
+                held += sum(len(v) for v in row if isinstance(v, str | bytes))
+            if len(pending) >= flush or (flush_bytes and held >= flush_bytes):
                 yield _batch(pending, target)
-                pending = []
+                pending, held = [], 0
         if pending:
             yield _batch(pending, target)
 

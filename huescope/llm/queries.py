@@ -62,7 +62,7 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    return chat.conversation_digests(chat.format_conversations(given.unionByName(own)))
+    return chat.conversation_digests(chat.format_conversations(given.unionByName(own)), in_order=True)
 
 
 def simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

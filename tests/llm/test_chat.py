@@ -37,8 +37,52 @@ def expected(rows):
 
 
 def test_conversations(spark):
-    found = chat.conversation_digests(chat.format_conversations(frame(spark, ROWS))).collect()
-    assert {r[0]: tuple(r)[1:] for r in found} == expected(ROWS)
+    formatted = chat.format_conversations(frame(spark, ROWS))
+    for in_order in (True, False):
+        found = chat.conversation_digests(formatted, in_order).collect()
+        assert {r[0]: tuple(r)[1:] for r in found} == expected(ROWS) and len(found) == len(expected(ROWS))
+
+
+def test_turns_are_read_from_the_whole_text(spark):
+    """Also across parts; every text holds marks, and loss spans count from the conversation's start."""
+    marks = ["<s>", "</s>\n", "\n", "[/INST]", "\\", "<|im_end|>", "<s>user\n", ""]
+    rows = [(c, t, "assistant" if t % 2 else "user", marks[(t + c) % len(marks)] * (1 + t % 3)) for c in range(4) for t in range(40)]
+    messages = spark.createDataFrame([(*r[:2], 1, *r[2:]) for r in rows], "conv_id long, turn long, copy int, role string, text string")
+    for part_chars in (1, 60, 10_000):
+        parts = chat.render_conversations(messages, part_chars).orderBy("conv_id", "part").collect()
+        assert (part_chars == 10_000) == (len(parts) == 4)
+        for c in range(4):
+            mine = [p for p in parts if p["conv_id"] == c]
+            text = "".join(p["formatted"] for p in mine)
+            assert list(chat.read_turns(text)) == [r[2:] for r in rows if r[0] == c]
+            spans = [(a, b) for p in mine for a, b in zip(p["loss_starts"], p["loss_ends"])]
+            assert [chat.unescape(text[a:b]) for a, b in spans] == [r[3] for r in rows if r[0] == c and r[2] == "assistant"]
+            assert all(len(list(chat.read_turns(p["formatted"]))) >= 1 for p in mine)
+
+
+def test_many_large_texts(spark):
+    """Rows of more than a megabyte go on in bounded batches."""
+    rows = spark.range(300, numPartitions=1).selectExpr(
+        "id % 20 AS conv_id", "id AS turn", "'user' AS role", "repeat(concat('a<s>', id), 200000) AS text"
+    )
+    found = chat.conversation_digests(chat.format_conversations(rows), in_order=True).collect()
+    assert sorted(r["n_turns"] for r in found) == [100] * 20 and min(r["formatted_chars"] for r in found) > 100 * 1_000_000
+
+
+def test_batches_are_bounded_by_their_texts():
+    from huescope.llm import common
+
+    sizes = []
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pylist([{"text": "x" * 1000} for _ in range(2000)])
+            sizes.extend(b.num_rows for b in run(iter([batch])))
+
+    common.arrow_map(Rows(), lambda rows: rows, "text string", 2000, 10_000)
+    assert sum(sizes) == 2000 and max(sizes) == 10
 
 
 def test_nothing(spark):
@@ -60,7 +104,7 @@ def test_fold_of_edits_and_regenerations(spark):
 @given(st.text(alphabet="<>/s[]INST\\lbn|SY\n ", max_size=40), st.text(alphabet="<s>[INST]\\n\nx", max_size=15))
 def test_escaping_is_reversible_and_leaves_no_mark(text, role):
     formatted, start, end = chat.render(role, text)
-    assert chat.read_back(formatted) == (role, text)
+    assert list(chat.read_turns(formatted * 2)) == [(role, text)] * 2
     assert chat.unescape(formatted[start:end]) == (text if role == "assistant" else "")
     inner = formatted[3:-5]
     for mark in ("<s>", "</s>", "[INST]", "[/INST]", "<|", "<<SYS>>", "<</SYS>>"):
