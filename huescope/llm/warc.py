@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huescope.llm.common import pick, stored
+from huescope.llm.common import TEXT_BYTES, pick, stored
 
 #: Shortest payload that a later record may refer to instead of repeating it.
 LEAST_REVISIT = 100
@@ -75,13 +75,15 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240102030405") -> None
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version = 1 + TaskContext.get().partitionId() % 2
-        out = [version_block(version)]
+        out, held = [version_block(version)], 0
         for batch in batches:
-            for page_id, url, html in zip(*[c.to_pylist() for c in batch.columns]):
+            for at in range(batch.num_rows):
+                page_id, url, html = (c[at].as_py() for c in batch.columns)
                 out.append(arc_record(version, url, date, page_id, html or b""))
-                if len(out) >= 500:
+                held += len(out[-1])
+                if held >= TEXT_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                    out = []
+                    out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
@@ -138,7 +140,8 @@ def parse_arc(content: bytes) -> Iterator[dict]:
     """Records of an ARC file: the fields of its header line, start, block (bytes).
 
     A header line has the fields of the version that the file's first record names.
-    Lines that declare no valid length end the file: nothing behind them can be located.
+    A line that declares no valid length ends the file, since nothing behind it can
+    be located: it gives a record with the line as its ``error`` and no block.
     """
     source, fields = _Bytes(content), FIELDS[1]
     while True:
@@ -154,6 +157,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         else:
             names = fields
         if len(parts) != len(names) or not parts[-1].isdigit():
+            yield {"start": start, "error": line.decode("utf-8", "replace").rstrip("\r\n")}
             return
         record = dict(zip(names, parts)) | {"start": start}
         record["block"] = source.take(int(parts[-1]))
@@ -184,12 +188,21 @@ ARC_ROWS = (
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all ARC files below a path, with synthesised ids, types and digests."""
+    """Records of all ARC files below a path, with synthesised ids, types and digests.
+
+    A file that cannot be read to its end gives a row of kind ``error`` with the
+    header line at fault in ``type``, the file's name in ``url`` and no payload.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def rows(content_of: str, content: bytes) -> Iterator[tuple]:
         name = content_of.rsplit("/", 1)[-1]
         for r in parse_arc(content):
+            if "error" in r:
+                fault = f"{name}#{r['start']}"
+                record_id = uuid.uuid5(uuid.NAMESPACE_URL, fault)
+                yield f"urn:uuid:{record_id}", "error", fault, "", "", r["error"][:1000], None, "", 0, b"", b""
+                return
             http = r["block"].startswith(b"HTTP/")
             head, payload = message_parts(r["block"]) if http else (b"", r["block"])
             digest = hashlib.sha256(payload).hexdigest()
@@ -237,22 +250,33 @@ def _arrow(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
 
+def revisits(arc: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
+    """record_id, first (record_id, url, date): each repeated response and the one that it refers to.
+
+    Payloads don't move: rows without them meet by digest, and what is kept of a
+    digest is folded by the map tasks. A digest with a third of all responses has
+    as many small rows, which adaptive execution splits.
+    """
+    eligible = arc.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_revisit))
+    small = stored(eligible.select("digest", "payload_bytes", "page_id", "record_id", "url", "date"), "responses")
+    own = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "url", "date")
+    key = ["digest", "payload_bytes"]
+    firsts = small.groupBy(*key).agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("records"))
+    paired = small.select(*key, "record_id").join(firsts.where("records > 1"), key)
+    return paired.where("first.record_id <> record_id").select("record_id", "first").dropDuplicates(["record_id"])
+
+
 def convert(arc: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """WARC records of the rows of ``read_arc``: kind, page_id and the record's bytes.
 
     Of responses with equal payloads of at least ``least_revisit`` bytes the one
     with the smallest page_id (then record id) stays a response; the others become
-    revisits that refer to it and hold no payload. Records without a page_id come last.
+    revisits that refer to it and hold no payload. Records without a page_id come
+    last. Rows of kind ``error`` are no records and are left out. Records find
+    their reference by their own id.
     """
-    own = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "url", "date")
-    eligible = arc.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_revisit))
-    firsts = eligible.groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("records"))
-    firsts = firsts.where("records > 1").select("digest", "first")
-    joined = arc.join(firsts, "digest", "left")
-    again = (
-        (F.col("kind") == "response") & (F.col("payload_bytes") >= least_revisit) & (F.col("first.record_id") != F.col("record_id"))
-    )
-    joined = joined.withColumn("again", F.coalesce(again, F.lit(False)))
+    joined = arc.where("kind <> 'error'").join(revisits(arc, least_revisit), "record_id", "left")
+    joined = joined.withColumn("again", F.col("first").isNotNull())
     kind = F.when(F.col("again"), "revisit").otherwise(F.col("kind"))
     block_bytes = F.octet_length("head") + F.when(F.col("again"), 0).otherwise(F.octet_length("payload"))
     of_type = (

@@ -65,7 +65,33 @@ def test_header_lines_of_both_versions():
 
 def test_a_line_without_length_ends_the_file():
     content = warc.version_block(1) + b"\nhttp://x 0 1 t nonsense\nrest"
-    assert len(list(warc.parse_arc(content))) == 1
+    first, fault = warc.parse_arc(content)
+    assert "error" not in first and fault["error"] == "http://x 0 1 t nonsense"
+
+
+def test_a_damaged_archive_gives_an_error_row(spark, tmp_path):
+    good = warc.arc_record(1, "http://a", "20240102030405", 7, b"payload")
+    (tmp_path / "whole.arc").write_bytes(warc.version_block(1) + b"\n" + good)
+    (tmp_path / "damaged.arc").write_bytes(warc.version_block(1) + b"\n" + good + b"\nhttp://x 0 1 t nonsense\n" + good)
+    rows = warc.read_arc(spark, str(tmp_path))
+    faults = rows.where("kind = 'error'").collect()
+    assert [r["type"] for r in faults] == ["http://x 0 1 t nonsense"] and faults[0]["url"].startswith("damaged.arc#")
+    assert rows.where("kind = 'response'").count() == 2
+    assert sorted(r["kind"] for r in warc.convert(rows).collect()) == ["response", "response", "warcinfo", "warcinfo"]
+
+
+def test_payloads_are_not_joined_by_digest(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "u", HTML) for i in range(50)], "page_id long, url string, html string")
+    warc.write_arc(rows, str(tmp_path / "arc"))
+    found = warc.revisits(warc.read_arc(spark, str(tmp_path / "arc")))
+    assert found.columns == ["record_id", "first"] and found.count() == 49
+    assert {r["first"]["page_id"] for r in found.collect()} == {0}
+
+
+def test_archives_are_written_in_bounded_batches(spark, tmp_path, monkeypatch):
+    rows = spark.range(300, numPartitions=1).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 400000) AS html")
+    warc.write_arc(rows, str(tmp_path / "arc"))
+    assert warc.read_arc(spark, str(tmp_path / "arc")).where("kind = 'response' and payload_bytes = 400000").count() == 300
 
 
 def test_other_schemes_become_resources(spark, tmp_path):
