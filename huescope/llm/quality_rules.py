@@ -17,6 +17,7 @@ the core of a group (no symbols at all, say) doesn't reject all that differ.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,9 @@ LEAST_GROUP = 100
 CHI_SHARE, CHI_CUT = 7.8408, 33.107
 #: Least standard deviations: log words, log word length, symbols, repeated lines, repeated words, capitals.
 FLOORS = (0.5, 0.15, 0.5, 0.15, 0.15, 0.15)
-MOST_STEPS, BANDS = 20, 16
+#: Steps after which a warning takes the place of convergence, and the fall of a log determinant that counts as none.
+MOST_STEPS, STILL = 30, 0.01
+BANDS = 16
 DIMENSIONS = len(FLOORS)
 _BLANKS, _SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 
@@ -98,13 +101,13 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return counted.withColumns({f"v{i}": c for i, c in enumerate(vector)} | {"base_failed": failed})
 
 
-def _grouped(counted: DataFrame) -> DataFrame:
+def _grouped(counted: DataFrame, least_group: int) -> DataFrame:
     """Adds the pooled language and source whose estimate a row uses: lang_of, source_of."""
     sizes = counted.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"))
-    alone = F.col("rows") >= LEAST_GROUP
+    alone = F.col("rows") >= least_group
     small = Window.partitionBy("lang", alone)
     pooled = sizes.withColumn("pool", F.sum("rows").over(small))
-    by_lang = F.col("pool") >= LEAST_GROUP
+    by_lang = F.col("pool") >= least_group
     named = pooled.select(
         F.col("lang").alias("lang_"),
         F.col("source").alias("source_"),
@@ -120,6 +123,19 @@ _UPPER = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
 _GROUP = ["lang_of", "source_of"]
 
 
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance with each variance raised to its floor's square at least, correlations kept.
+
+    A constant statistic has no correlations; those of one shrink by a millionth,
+    so that statistics in lockstep leave the matrix invertible.
+    """
+    deviation = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    scale = np.where(deviation > 1e-9, np.maximum(deviation, FLOORS) / np.maximum(deviation, 1e-9), 0.0)
+    raised = cov * np.outer(scale, scale) * (1 - 1e-6)
+    np.fill_diagonal(raised, np.maximum(deviation, FLOORS) ** 2)
+    return raised
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     """Mean, inverse covariance (with the floors) and log determinant of each group."""
     sums = [F.avg(v).alias(f"m_{v}") for v in _V]
@@ -135,7 +151,7 @@ def _moments(rows: DataFrame) -> DataFrame:
                 cov = np.zeros((DIMENSIONS, DIMENSIONS))
                 for i, j in _UPPER:
                     cov[i, j] = cov[j, i] = row[f"p_{i}_{j}"] - mean[i] * mean[j]
-                cov += np.diag(np.square(FLOORS))
+                cov = floored(cov)
                 inverse = np.linalg.inv(cov).round(9)
                 out.append((row["lang_of"], row["source_of"], mean.round(9).tolist(), inverse.ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
             if out:
@@ -152,7 +168,7 @@ def _start(rows: DataFrame) -> DataFrame:
     quartiles = rows.groupBy(*_GROUP).agg(*[F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(v) for v in _V])
     zero = F.lit(0.0)
     inverse = [
-        1.0 / (F.pow((F.col(v)[2] - F.col(v)[0]) / 1.349, F.lit(2)) + F.lit(FLOORS[i] ** 2)) if i == j else zero
+        1.0 / F.pow(F.greatest((F.col(v)[2] - F.col(v)[0]) / 1.349, F.lit(FLOORS[i])), F.lit(2)) if i == j else zero
         for i, v in enumerate(_V)
         for j in range(DIMENSIONS)
     ]
@@ -188,29 +204,40 @@ def _cuts(banded: DataFrame) -> DataFrame:
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """lang_of, source_of, centre, inverse, scale: the estimate of each group of ``rows``."""
-    estimate, last = _start(rows), None
+    """lang_of, source_of, centre, inverse, scale: the estimate of each group of ``rows``.
+
+    Steps go on until no group's determinant falls below its lowest so far, however
+    many groups there are.
+    """
+    estimate, lowest = _start(rows), None
     for _ in range(MOST_STEPS):
         cuts = stored(_cuts(_banded(rows, estimate)), "mcd-cuts")
         core = _banded(rows, estimate).join(cuts, _GROUP).where("band <= cut")
         estimate = _moments(core.select(*_GROUP, *_V))
-        total = estimate.agg(F.sum("log_det")).first()[0] or 0.0
-        if last is not None and abs(last - total) < 1e-3 * max(1.0, abs(last)):
+        reached = estimate.select(*_GROUP, "log_det")
+        if lowest is None:
+            lowest = reached
+            continue
+        both = lowest.withColumnRenamed("log_det", "before").join(reached, _GROUP)
+        lowest = stored(both.select(*_GROUP, "before", F.least("before", "log_det").alias("log_det")), "mcd-lowest")
+        if (lowest.agg(F.max(F.col("before") - F.col("log_det"))).first()[0] or 0.0) < STILL:
             break
-        last = total
+        lowest = lowest.drop("before")
+    else:
+        warnings.warn(f"some covariance still falls after {MOST_STEPS} steps", stacklevel=2)
     cuts = _cuts(_banded(rows, estimate))
     edge = F.pow(F.lit(2.0), (F.col("cut") + 1) / BANDS)
     return estimate.join(cuts, _GROUP).withColumn("scale", F.greatest(F.lit(1.0), edge / CHI_SHARE))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     Null text has no words and fails; a null language or source is a value of its
     own. Repeated rows count each. Empty input gives no rows; further columns are
     ignored. Documents that fail the base rules are rejected whatever their distance.
     """
-    rows = stored(_grouped(document_statistics(docs)), "statistics")
+    rows = stored(_grouped(document_statistics(docs), least_group), "statistics")
     final = stored(robust_estimates(rows), "mcd-final")
     judged = rows.join(final, _GROUP, "left").withColumn("distance", _distance() / F.col("scale"))
     outlying = F.coalesce(F.col("distance") > CHI_CUT, F.lit(False))

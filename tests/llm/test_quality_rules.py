@@ -1,6 +1,7 @@
 """Statistics against plain counting; the estimate against outliers that it must resist."""
 
 import re
+import random
 from collections import Counter
 
 import edge
@@ -69,15 +70,43 @@ def test_concentration_finds_the_least_determinant(spark):
     assert np.abs(np.array(found["centre"])).max() < 1.0
 
     def determinant(rows):
-        return np.linalg.slogdet(np.cov(rows.T, bias=True) + np.diag(np.square(rules.FLOORS)))[1]
+        return np.linalg.slogdet(rules.floored(np.cov(rows.T, bias=True)))[1]
 
     best = np.inf
     for _ in range(30):
         chosen = data[rng.choice(len(data), 10, replace=False)]
         for _ in range(20):
-            inverse = np.linalg.inv(np.cov(chosen.T, bias=True) + np.diag(np.square(rules.FLOORS)))
+            inverse = np.linalg.inv(rules.floored(np.cov(chosen.T, bias=True)))
             gaps = data - chosen.mean(axis=0)
             distance = np.einsum("ij,jk,ik->i", gaps, inverse, gaps)
             chosen = data[np.argsort(distance)[: int(rules.SHARE * len(data))]]
         best = min(best, determinant(chosen))
     assert found["log_det"] < best + 0.5
+
+
+def test_floors_raise_small_variances_only():
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(500, rules.DIMENSIONS)) * np.array(rules.FLOORS) * [3, 3, 0.01, 0, 2, 2]
+    data[:, 5] = 2 * data[:, 4]  # in lockstep
+    cov = np.cov(data.T, bias=True)
+    found = rules.floored(cov)
+    want = np.maximum(np.diag(cov), np.square(rules.FLOORS))
+    assert np.allclose(np.diag(found), want) and np.allclose(found[:2, :2], cov[:2, :2], rtol=1e-5)
+    assert np.linalg.eigvalsh(found).min() > 0
+
+
+def test_all_capitals_are_rejected_and_groups_do_not_depend_on_others(spark):
+    chance = random.Random(9)
+
+    def text():
+        words = [" ".join("".join(chance.choice("aeioulnrst") for _ in range(chance.randint(2, 9))) for _ in range(12)) for _ in range(8)]
+        return ".\n".join(w.capitalize() for w in words)
+
+    rows = [(i, text(), "en", "s", 0, 0, "", "") for i in range(400)]
+    rows[7] = (7, rows[7][1].upper(), "en", "s", 0, 0, "", "")
+    alone = {r["doc_id"]: (r["kept"], r["distance"]) for r in rules.quality_rules(edge.frame(spark, rows)).collect()}
+    assert not alone[7][0] and sum(kept for kept, _ in alone.values()) > 390
+    more = rows + [(1000 + i, text() + " #" * chance.randint(0, 9), "de", f"s{i % 3}", 0, 0, "", "") for i in range(600)]
+    beside = {r["doc_id"]: (r["kept"], r["distance"]) for r in rules.quality_rules(edge.frame(spark, more)).collect()}
+    for i, (kept, distance) in alone.items():
+        assert beside[i][0] == kept and abs(beside[i][1] - distance) <= 0.02 * (1 + distance)
