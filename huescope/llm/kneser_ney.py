@@ -12,7 +12,7 @@ answers of its own block only, whose number is bounded by the block's text, and
 adds up the log probabilities of every character of every document.
 
 A document is kept when its steadied perplexity is at most its language's quantile
-of the same over held-out trusted documents, and ``SLACK``. Steadied: ``STEADY`` characters of the
+of the same over held-out trusted documents. Steadied: ``STEADY`` characters of the
 language's mean log probability are added, so a few odd characters do not condemn a
 short text. A language without held-out text keeps all.
 """
@@ -34,8 +34,6 @@ ORDER = 4
 HELD_OUT = 5
 #: Share of held-out trusted documents that a language's threshold keeps.
 QUANTILE = 0.999
-#: Thresholds are this much above the quantile: few held-out documents understate it.
-SLACK = 1.15
 #: Characters of average text added to each document before it is judged.
 STEADY = 100
 #: Characters that are turned into n-grams at once.
@@ -43,9 +41,8 @@ _SLICE = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _codes(text: str, order: int) -> np.ndarray:
-    """Code points of a text behind the line ends that stand for its beginning."""
-    return np.frombuffer(("\n" * (order - 1) + text).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def _codes(part: str) -> np.ndarray:
+    return np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 def _mixed(columns: np.ndarray) -> np.ndarray:
@@ -64,8 +61,8 @@ def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
 
 
 def _grams_of(texts: list[str], order: int) -> tuple[list[str], list[int]]:
-    """The different n-grams of some texts and how often each occurs."""
-    codes = [_codes(t, order) for t in texts]
+    """The different n-grams of some parts of ``_slices`` and how often each occurs."""
+    codes = [_codes(t) for t in texts]
     joined = np.concatenate(codes)
     hashes = _hashes(joined, order)
     inner = np.ones(len(hashes), dtype=bool)
@@ -95,7 +92,7 @@ def _count_rows(order: int):
             pending.clear()
 
         for *key, text in incoming:
-            for part in _slices(text):
+            for part in _slices(text, order):
                 pending.setdefault(tuple(key), []).append(part)
                 held += len(part) + order
                 if held >= _SLICE:
@@ -109,10 +106,16 @@ def _count_rows(order: int):
     return rows
 
 
-def _slices(text: str) -> Iterator[str]:
-    """A very long text in parts that together have its n-grams, but for the context at the joins."""
+def _slices(text: str, order: int) -> Iterator[str]:
+    """A text in parts that together have its n-grams, each once.
+
+    Line ends stand for what comes before the text; each later part begins with
+    the last characters of the part before, so no context is lost at the joins.
+    """
+    before = order - 1
     for start in range(0, len(text), _SLICE):
-        yield text[start : start + _SLICE]
+        context = text[start - before : start] if start >= before else ("\n" * before + text[:start])[-before:]
+        yield (context if before else "") + text[start : start + _SLICE]
 
 
 def _drain(seen: dict) -> Iterator[tuple]:
@@ -258,8 +261,8 @@ def _scores(blocks: DataFrame, roles: str, answers: str, order: int) -> DataFram
                 continue
             keys, values = known[lang]
             total = 0.0
-            for part in _slices(text):
-                hashes = _hashes(_codes(part, order), order)
+            for part in _slices(text, order):
+                hashes = _hashes(_codes(part), order)
                 total += float(values[np.searchsorted(keys, hashes)].sum(dtype=np.float64))
             yield doc_id, lang, role, len(text), round(-total, 6)
 
@@ -312,7 +315,7 @@ def score_documents(docs: DataFrame, trusted: DataFrame, order: int = ORDER, qua
         "steadied", F.exp((F.col("loss") + STEADY * F.col("mean")) / (F.col("chars") + STEADY))
     )
     limits = steadied.where("role = 'held' and loss is not null").groupBy("lang").agg(
-        (SLACK * F.percentile_approx("steadied", quantile, 10_000)).alias("threshold")
+        F.percentile_approx("steadied", quantile, 10_000).alias("threshold")
     )
     judged = steadied.join(limits, "lang", "left")
     kept = F.coalesce(F.col("steadied") <= F.col("threshold"), F.lit(True))

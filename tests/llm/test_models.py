@@ -122,6 +122,41 @@ def test_kneser_ney_by_definition(spark):
     assert scored[502]["perplexity"] is None and scored[502]["kept"]
 
 
+def test_slices_have_each_n_gram_once(monkeypatch):
+    chance = random.Random(3)
+    for order in (1, 2, 4):
+        for size in (1, 2, 3, 7, 1000):
+            monkeypatch.setattr(kneser_ney, "_SLICE", size)
+            text = "".join(chance.choice("abcé漢") for _ in range(60))
+            padded = "\n" * (order - 1) + text
+            found = Counter()
+            for gram, count in zip(*kneser_ney._grams_of(list(kneser_ney._slices(text, order)), order)):
+                found[gram] += count
+            assert found == Counter(padded[i : i + order] for i in range(len(text)))
+
+
+def test_thresholds_and_verdicts_by_definition(spark):
+    """Steadied perplexities, their quantile over held-out documents and the verdict, recomputed from the scores."""
+    chance = random.Random(12)
+    rows = [(i, prose(chance, chance.randint(1, 40)), "en", "s", 0, 0, "", "") for i in range(300)]
+    rows += [(1000 + i, "".join(chance.choice("xqzjk #|") for _ in range(300)), "en", "s", 0, 0, "", "") for i in range(20)]
+    trusted = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
+    found = {r["doc_id"]: r for r in kneser_ney.score_documents(edge.frame(spark, rows), trusted, order=3, quantile=0.9).collect()}
+    ids = spark.createDataFrame([(r[0],) for r in rows[:300]], "doc_id long")
+    marks = ids.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 'held out'), {kneser_ney.HELD_OUT}) AS h").collect()
+    held = [r["doc_id"] for r in marks if r["h"] == 0]
+    loss = {r[0]: math.log(found[r[0]]["perplexity"]) * len(r[1]) for r in rows}
+    size = {r[0]: len(r[1]) for r in rows}
+    mean = sum(loss[i] for i in held) / sum(size[i] for i in held)
+    extra = kneser_ney.STEADY
+    steadied = {i: math.exp((loss[i] + extra * mean) / (size[i] + extra)) for i in loss}
+    limit = sorted(steadied[i] for i in held)[math.ceil(0.9 * len(held)) - 1]
+    for i, r in found.items():
+        assert abs(r["steadied"] - steadied[i]) < 1e-3 * steadied[i] and abs(r["threshold"] - limit) < 1e-3 * limit
+        assert r["kept"] == (r["steadied"] <= r["threshold"] + 5e-7) and (i < 1000 or not r["kept"])
+    assert sum(r["kept"] for i, r in found.items() if i in held) >= 0.9 * len(held)
+
+
 def test_kneser_ney_edge_rows(spark, docs, no_docs):
     trusted = spark.createDataFrame([(i,) for i in range(100, 140)] + [(None,)], "doc_id long")
     found = kneser_ney.score_documents(docs, trusted)
