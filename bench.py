@@ -22,6 +22,7 @@ HEADLINE = {
     "declaration_rows": "union_declarations",
     "page_summary_rows": "page_contrast_summary",
     "parse_colours_wide": "parse_colour",
+    "parse_colours_repeated": "parse_colour_once",
     "classify_pairs_wide": "classify_pairs",
     "dedup_pairs_wide": "dedup_pairings_wide",
     "category_rollup": "category_rollup",
