@@ -187,7 +187,8 @@ def page_pairings(pages: DataFrame, key: str = "domain", text: str = "html") ->
         [F.col(key)],
         {
             "failed": failed,
-            "error": F.when(failed, unreadable_message(F.col("failing"))),
+            # through an array, as the rare message would bloat the code compiled for all pages
+            "error": F.when(failed, F.get(F.transform(F.array("failing"), unreadable_message), F.lit(0))),
             "pairings": _distinct_list(F.col("pairs")),
         },
     )
