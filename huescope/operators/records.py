@@ -25,7 +25,8 @@ from huescope.sources.pages import safe_name
 # Executors may not have this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-REGION_BYTES = 64 * 1024 * 1024
+#: Bytes of records that a task reads; a step behind it may get them all in one batch.
+REGION_BYTES = 16 * 1024 * 1024
 #: Bytes of an archive that one row holds when archives are tables.
 BLOCK_BYTES = 4 * 1024 * 1024
 
@@ -38,8 +39,9 @@ DECODED = {
     "error": ("STRING", pa.string()),
 }
 
-#: Bytes of record and text that one output batch may hold before it is handed on.
-BATCH_BYTES = 64 * 1024 * 1024
+#: Bytes of record and text that one output batch may hold before it is handed on. An executor
+#: runs up to two such steps for each of its cores, and each holds a batch several times over.
+BATCH_BYTES = 4 * 1024 * 1024
 
 #: Bytes that one record may unpack to; a larger one is an ``error`` row.
 UNPACKED_LIMIT = 256 * 1024 * 1024
@@ -158,6 +160,7 @@ def _outcomes(batches, kept: list[str], made: dict[str, pa.DataType], outcome):
 
     A batch is handed on as soon as its outcomes hold BATCH_BYTES, so memory does
     not depend on how many rows Spark sends at once; one larger record goes alone.
+    Nothing of a batch is held while the next is read.
     """
     for batch in batches:
         rows = batch.to_pylist() if "content" not in batch.schema.names else _row_by_row(batch)
@@ -169,7 +172,8 @@ def _outcomes(batches, kept: list[str], made: dict[str, pa.DataType], outcome):
                 columns = [batch.column(name).slice(begin, at - begin) for name in kept]
                 columns += [pa.array([p[n] for p in pending], kind) for n, kind in made.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
-                begin, held, pending = at, 0, []
+                columns, begin, held, pending = None, at, 0, []
+        batch = rows = None
 
 
 def _row_by_row(batch):

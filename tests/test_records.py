@@ -209,6 +209,23 @@ def test_batches_are_bounded_by_bytes(monkeypatch):
     assert all(sum(b.column("size").to_pylist()[:-1]) < 1000 for b in out)
 
 
+def test_a_step_holds_one_input_batch_and_little_output():
+    before, most, megabyte = pa.total_allocated_bytes(), [0, 0], 1 << 20
+
+    def held():
+        return (pa.total_allocated_bytes() - before) / megabyte
+
+    def batches():
+        for _ in range(4):
+            most[0] = max(most[0], held())
+            yield pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([b"z" * megabyte] * 40)], ["id", "content"])
+
+    kinds, rows = {"content": pa.binary()}, 0
+    for out in rec._outcomes(batches(), ["id"], kinds, lambda row: rec._unpacked_content(row, rec.UNPACKED_LIMIT)):
+        most[1], rows = max(most[1], held()), rows + out.num_rows
+    assert rows == 160 and most[0] < 20 and most[1] < 40 + 30
+
+
 def test_resume_uses_the_safe_name(spark):
     index = spark.createDataFrame([("a/b:c",), ("d",)], "domain string")
     done = spark.createDataFrame([("a_b_c",)], "domain string")
