@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -70,20 +71,21 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         self.ordered = sorted(self.ids)
         letters = sorted({c for piece in self.ids for c in piece})
-        self.letters = np.array([ord(c) for c in letters], dtype=np.int64)
+        self.numbers = np.zeros(sys.maxunicode + 1, dtype=">u2")
+        self.numbers[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.keys = self._keys("".join(p.ljust(self.longest, "\0") for p in self.ordered)).reshape(len(self.ordered), -1)
         self.pairs: dict[int, bool] = {}
-        self.inside = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
+        self.inside = np.zeros((len(letters) + 1,) * 2, dtype=bool)
+        neighbours = "".join(sorted({a + b for piece in self.ids for a, b in zip(piece, piece[1:])}))
+        self.inside[tuple(self._keys(neighbours).astype(np.int64).reshape(-1, 2).T)] = True
         self.alone = np.array([False, *(c in self.ids for c in letters)])
         self.lengths = np.array([len(p) for p in self.ordered])
         self.ordered_ids = np.array([self.ids[p] for p in self.ordered])
 
     def _keys(self, text: str) -> np.ndarray:
         """Numbers of the characters, from 1; characters in no piece, and NUL, have 0."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        at = np.searchsorted(self.letters, points)
-        known = (at < len(self.letters)) & (self.letters[np.minimum(at, len(self.letters) - 1)] == points)
-        return np.where(known, at + 1, 0).astype(">u2")
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return self.numbers[points]
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(end, start, id) of every occurrence of every piece in a text."""
@@ -103,15 +105,26 @@ class Vocabulary:
         start = order[first[piece] + offset]
         return start + self.lengths[piece], start, self.ordered_ids[piece]
 
-    def atoms(self, part: str) -> list[str]:
-        """The part, cut wherever no piece holds the two neighbouring characters."""
-        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self.inside]
-        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]
+    def atoms(self, parts: list[str]) -> Iterator[list[str]]:
+        """Each part, cut wherever no piece holds the two neighbouring characters."""
+        joined = "\0".join(parts)
+        codes = self._keys(joined).astype(np.int64)
+        cuts = np.flatnonzero(~self.inside[codes[:-1], codes[1:]]) + 1
+        bounds = np.concatenate([[0], cuts, [len(joined)]])
+        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+        begins = np.concatenate([[0], ends + 1])[:-1]
+        places = bounds.tolist()
+        pieces = [joined[a:b] for a, b in zip(places, places[1:])]
+        for a, b in zip(np.searchsorted(bounds, begins).tolist(), np.searchsorted(bounds, ends).tolist()):
+            yield pieces[a:b]
 
     def stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """``stays`` for many pairs of pieces, each different pair once."""
         keys, at = np.unique(left << 32 | right, return_inverse=True)
-        known = [self.stays(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()]
+        asked = keys.tolist()
+        known = list(map(self.pairs.get, asked))
+        if None in known:
+            known = [self.stays(k >> 32, k & 0xFFFFFFFF) if v is None else v for k, v in zip(asked, known)]
         return np.array(known, dtype=bool)[at]
 
     def stays(self, left: int, right: int) -> bool:
@@ -177,8 +190,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 _NONE, _RAW, _START = -1, -2, -3
 
 
-def relax(vocabulary: Vocabulary, atoms: list[str]) -> list[list[int]]:
-    """Ids of each atom. All atoms advance together, one end position at a time."""
+def relax(vocabulary: Vocabulary, atoms: list[str]) -> list[np.ndarray]:
+    """Ids of each atom as unsigned 32-bit numbers. All atoms advance together, one end position at a time."""
     joined = "\0".join(atoms)
     end, start, piece = vocabulary.edges(joined)
     sizes = np.array([len(a) for a in atoms])
@@ -211,54 +224,90 @@ def relax(vocabulary: Vocabulary, atoms: list[str]) -> list[list[int]]:
         here = longest_first[: np.searchsorted(falling, -step, side="right")] + step
         lone = here[(last[here] == _NONE) & raw[here - 1]]
         last[lone], back[lone], score[lone] = _RAW, lone - 1, score[lone - 1] - 1e6
-    return [_trace(vocabulary, joined, last, back, a, a + n) for a, n in zip(begins.tolist(), sizes.tolist())]
+    return _traced(vocabulary, joined, last, back, begins, begins + sizes)
 
 
-def _trace(vocabulary: Vocabulary, joined: str, last: np.ndarray, back: np.ndarray, begin: int, done: int) -> list[int]:
-    """Ids on the way back from the end of an atom."""
+def _traced(
+    vocabulary: Vocabulary, joined: str, last: np.ndarray, back: np.ndarray, begins: np.ndarray, ends: np.ndarray
+) -> list[np.ndarray]:
+    """Ids on the way back from the end of each atom; all atoms go back together."""
+    atom, at = np.arange(len(begins)), ends
     found = []
-    while done > begin:
-        found.append((last.item(done), done))
-        done = back.item(done)
-    ids: list[int] = []
-    for piece, place in reversed(found):
-        if piece >= 0:
-            ids.append(piece)
-        elif vocabulary.bytes:
-            ids += [vocabulary.bytes[b] for b in joined[place - 1].encode("utf-8", "surrogatepass")]
-        else:
-            ids.append(vocabulary.unknown)
-    return ids
+    while len(atom := atom[going := at > begins[atom]]):
+        at = at[going]
+        found.append((atom, at))
+        at = back[at]
+    if not found:
+        return [np.empty(0, "<u4")] * len(begins)
+    atoms, places = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((places, atoms))
+    atoms, places = atoms[order], places[order]
+    ids, raw = last[places], np.flatnonzero(last[places] == _RAW)
+    counts = np.ones(len(ids), dtype=np.int64)
+    if len(raw):
+        spelled = [_raw_ids(vocabulary, joined[p - 1]) for p in places[raw].tolist()]
+        counts[raw] = [len(x) for x in spelled]
+        ids = np.repeat(ids, counts)
+        ids[ids == _RAW] = [i for x in spelled for i in x]
+    upto = np.cumsum(np.bincount(atoms, counts, len(begins))).astype(np.int64).tolist()
+    ids = ids.astype("<u4")
+    return [ids[a:b] for a, b in zip([0, *upto], upto)]
+
+
+def _raw_ids(vocabulary: Vocabulary, character: str) -> list[int]:
+    if vocabulary.bytes:
+        return [vocabulary.bytes[b] for b in character.encode("utf-8", "surrogatepass")]
+    return [vocabulary.unknown]
+
+
+class Remembered(dict):
+    """A memo within bounds: when it is full, what isn't asked for again until the next time is forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
 
+    def unknown(self, keys: set[str]) -> list[str]:
+        """The keys that are not remembered."""
+        if len(self) > _REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        missing = []
+        for key in keys.difference(self):
+            found = self.older.get(key)
+            if found is None:
+                missing.append(key)
+            else:
+                self[key] = found
+        return missing
 
-class PartIds(dict):
-    """Ids of parts as little-endian unsigned 32-bit bytes, remembered within bounds."""
+
+class PartIds(Remembered):
+    """Ids of parts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.of_atom = vocabulary, {}
+        self.vocabulary, self.of_atom = vocabulary, Remembered()
 
     def learn(self, parts: set[str]) -> None:
         """Encode the parts that are not remembered yet; their new atoms are indexed together."""
-        if len(self) > _REMEMBERED:
-            self.clear()
-        if len(self.of_atom) > _REMEMBERED:
-            self.of_atom.clear()
-        cut = {part: self.vocabulary.atoms(part) for part in parts if part not in self}
+        new = self.unknown(parts)
+        cut = list(self.vocabulary.atoms(new))
         pending, held = [], 0
-        for atom in {a for atoms in cut.values() for a in atoms}.difference(self.of_atom):
+        for atom in self.of_atom.unknown({a for atoms in cut for a in atoms}):
             pending.append(atom)
             held += len(atom) + 1
             if held >= _INDEXED:
                 self._encode(pending)
                 pending, held = [], 0
         self._encode(pending)
-        for part, atoms in cut.items():
-            self[part] = b"".join([self.of_atom[a] for a in atoms])
+        ids = self.of_atom.__getitem__
+        for part, atoms in zip(new, cut):
+            self[part] = ids(part) if len(atoms) == 1 else b"".join(map(ids, atoms))
 
     def _encode(self, atoms: list[str]) -> None:
         for atom, ids in zip(atoms, relax(self.vocabulary, atoms) if atoms else []):
-            self.of_atom[atom] = np.asarray(ids, dtype="<u4").tobytes()
+            self.of_atom[atom] = ids.tobytes()
 
 
 @functools.lru_cache(maxsize=2)

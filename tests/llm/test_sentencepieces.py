@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import edge
 import numpy as np
@@ -31,6 +32,24 @@ def test_ids_and_texts_are_the_librarys():
     assert [sentencepieces.decode(vocabulary, f) for f in found] == LIBRARY.decode(want)
 
 
+def test_frequent_words_outlive_a_full_memo(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "_REMEMBERED", 60)
+    relax, encoded, chance = sentencepieces.relax, Counter(), random.Random(8)
+
+    def counted(vocabulary, atoms):
+        encoded.update(atoms)
+        return relax(vocabulary, atoms)
+
+    monkeypatch.setattr(sentencepieces, "relax", counted)
+    parts = sentencepieces.PartIds(sentencepieces.part_ids(PATH).vocabulary)
+    for _ in range(30):
+        given = ["the same words", "".join(chance.choice("abcdethein  .é\n漢") for _ in range(200)), ""]
+        found = sentencepieces.encode_batch(parts, given)
+        assert [np.frombuffer(f, "<u4").tolist() for f in found] == LIBRARY.encode(given)
+    assert encoded["▁same"] == encoded["▁words"] == 1
+    assert len(encoded) > 300 and len(parts) + len(parts.older) < 300
+
+
 def test_best_path_of_a_unigram_model():
     """The relaxation for unigram models, on a vocabulary of random scores."""
     chance = random.Random(7)
