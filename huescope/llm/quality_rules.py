@@ -5,7 +5,8 @@ source the minimum-covariance-determinant estimate is found by concentration
 steps that run as aggregates over all documents, from medians and interquartile
 ranges on: distances under the current estimate, the ``SHARE`` of rows with the smallest distances, their mean and
 covariance, again, until the determinants no longer fall. Which distances are
-smallest is read from counts per narrow band of the distance, so a group with a
+smallest is read from counts per narrow band of the distance, and mean and covariance
+from the bands' sums: a step reads every row once, and a group with a
 third of all rows folds on the map side like any other. A document whose
 Mahalanobis distance under the final estimate is beyond the chi-squared quantile
 is rejected.
@@ -136,11 +137,10 @@ def floored(cov: np.ndarray) -> np.ndarray:
     return raised
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean, inverse covariance (with the floors) and log determinant of each group."""
-    sums = [F.avg(v).alias(f"m_{v}") for v in _V]
-    products = [F.avg(F.col(_V[i]) * F.col(_V[j])).alias(f"p_{i}_{j}") for i, j in _UPPER]
-    averaged = rows.groupBy(*_GROUP).agg(*sums, *products)
+def _moments(bands: DataFrame) -> DataFrame:
+    """Mean, inverse covariance (with the floors) and log determinant of each group, from the sums of bands."""
+    names = [*[f"m_{v}" for v in _V], *[f"p_{i}_{j}" for i, j in _UPPER]]
+    averaged = bands.groupBy(*_GROUP).agg(*[(F.sum(n) / F.sum("rows")).alias(n) for n in names])
     schema = "lang_of string, source_of string, centre array<double>, inverse array<double>, log_det double"
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +194,18 @@ def _banded(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return near.withColumn("band", F.floor(BANDS * F.log2(F.col("distance") + 1e-6)).cast("int"))
 
 
-def _cuts(banded: DataFrame) -> DataFrame:
+def _bands(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Of each group and band the number of rows, and the sums of their values and products."""
+    sums = [F.sum(v).alias(f"m_{v}") for v in _V]
+    products = [F.sum(F.col(_V[i]) * F.col(_V[j])).alias(f"p_{i}_{j}") for i, j in _UPPER]
+    return _banded(rows, estimate).groupBy(*_GROUP, "band").agg(F.count(F.lit(1)).alias("rows"), *sums, *products)
+
+
+def _cuts(bands: DataFrame) -> DataFrame:
     """The band of each group that holds the row at SHARE."""
-    counts = banded.groupBy(*_GROUP, "band").agg(F.count(F.lit(1)).alias("rows"))
     upto = Window.partitionBy(*_GROUP).orderBy("band")
     total = Window.partitionBy(*_GROUP)
-    seen = counts.withColumns({"upto": F.sum("rows").over(upto), "total": F.sum("rows").over(total)})
+    seen = bands.withColumns({"upto": F.sum("rows").over(upto), "total": F.sum("rows").over(total)})
     return seen.where(F.col("upto") >= SHARE * F.col("total")).groupBy(*_GROUP).agg(F.min("band").alias("cut"))
 
 
@@ -211,9 +217,8 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     """
     estimate, lowest = _start(rows), None
     for _ in range(MOST_STEPS):
-        cuts = stored(_cuts(_banded(rows, estimate)), "mcd-cuts")
-        core = _banded(rows, estimate).join(cuts, _GROUP).where("band <= cut")
-        estimate = _moments(core.select(*_GROUP, *_V))
+        bands = stored(_bands(rows, estimate), "mcd-bands")
+        estimate = _moments(bands.join(_cuts(bands), _GROUP).where("band <= cut"))
         reached = estimate.select(*_GROUP, "log_det")
         if lowest is None:
             lowest = reached
@@ -225,7 +230,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         lowest = lowest.drop("before")
     else:
         warnings.warn(f"some covariance still falls after {MOST_STEPS} steps", stacklevel=2)
-    cuts = _cuts(_banded(rows, estimate))
+    cuts = _cuts(_bands(rows, estimate))
     edge = F.pow(F.lit(2.0), (F.col("cut") + 1) / BANDS)
     return estimate.join(cuts, _GROUP).withColumn("scale", F.greatest(F.lit(1.0), edge / CHI_SHARE))
 

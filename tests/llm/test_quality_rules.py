@@ -84,6 +84,19 @@ def test_concentration_finds_the_least_determinant(spark):
     assert found["log_det"] < best + 0.5
 
 
+def test_a_step_reads_every_row_once(spark, monkeypatch):
+    """Mean and covariance come from the bands' sums, which don't grow with the rows."""
+    rng = np.random.default_rng(5)
+    data = [("=en", f"={i % 2}", *map(float, row)) for i, row in enumerate(rng.normal(0, 2, (4000, rules.DIMENSIONS)))]
+    schema = "lang_of string, source_of string, " + ", ".join(f"{v} double" for v in rules._V)
+    entering, passes, moments, banded = [], [], rules._moments, rules._banded
+    monkeypatch.setattr(rules, "_moments", lambda rows: entering.append(rows.count()) or moments(rows))
+    monkeypatch.setattr(rules, "_banded", lambda *given: passes.append(1) or banded(*given))
+    final = {r["source_of"]: r for r in rules.robust_estimates(spark.createDataFrame(data, schema)).collect()}
+    assert max(entering) < 600 and len(passes) == len(entering) + 1
+    assert len(final) == 2 and all(np.abs(r["centre"]).max() < 0.3 for r in final.values())
+
+
 def test_floors_raise_small_variances_only():
     rng = np.random.default_rng(4)
     data = rng.normal(size=(500, rules.DIMENSIONS)) * np.array(rules.FLOORS) * [3, 3, 0.01, 0, 2, 2]
